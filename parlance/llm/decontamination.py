@@ -45,7 +45,9 @@ OTHER, LETTER, DIGIT, END, SIGN = range(5)
 #: Codes of the placeholders.
 NUMBER, UNIT, NAME = np.array([1, 2, 3], np.uint64)
 #: Characters that are tokenised at once.
-ROUND = 1 << 20
+ROUND = 1 << 18
+#: Bits of a window's hash by which it is looked for first.
+LEADING = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(256)], np.uint64)
 
@@ -103,8 +105,8 @@ def canonical(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     after_number = np.concatenate([[False], of[:-1] == DIGIT])[: len(cut)] & ~first
     code = value.copy()
     code[(of == LETTER) & ~first & (size > 1) & (capitals == 1) & upper[codes[cut]]] = NAME
-    if after_number.any():
-        code[after_number & np.isin(value, _unit_values())] = UNIT
+    if (after := np.nonzero(after_number)[0]).size:
+        code[after[np.isin(value[after], _unit_values())]] = UNIT
     code[of == SIGN], code[of == DIGIT] = UNIT, NUMBER
     return text, code, value
 
@@ -144,7 +146,11 @@ class Block:
         self.by_size = {}
         for n, rows in entries.items():
             rows.sort()
-            self.by_size[n] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1:] for r in rows], np.int64))
+            hashes = np.array([r[0] for r in rows], np.uint64)
+            #: Most windows end at a look into this table by leading bits.
+            seen = np.zeros(1 << LEADING, bool)
+            seen[hashes >> np.uint64(64 - LEADING)] = True
+            self.by_size[n] = (seen, hashes, np.array([r[1:] for r in rows], np.int64))
 
     def matches(self, texts: list[str | None]) -> list[list[tuple[int, int, int, bool]]]:
         """For each text, for every item that it holds: (item id, its tokens, those of them that are covered, whether values differ)."""
@@ -167,12 +173,12 @@ class Block:
     def _matches(self, texts: list[str]) -> dict[int, list[tuple[int, int, int, bool]]]:
         owner, code, value = canonical(texts)
         found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for n, (hashes, places) in self.by_size.items():
+        for n, (seen, hashes, places) in self.by_size.items():
             own, _ = windows(code, n)
-            left = np.searchsorted(hashes, own, "left")
-            hit = np.nonzero((hashes[np.minimum(left, len(hashes) - 1)] == own) & (owner[: len(own)] == owner[n - 1 :][: len(own)]))[0]
-            right = np.searchsorted(hashes, own[hit], "right").tolist()
-            for d, text, a, b in zip(hit.tolist(), owner[hit].tolist(), left[hit].tolist(), right):
+            hit = np.nonzero(seen[own >> np.uint64(64 - LEADING)])[0]
+            hit = hit[owner[hit] == owner[hit + n - 1]]
+            left, right = (np.searchsorted(hashes, own[hit], side).tolist() for side in ("left", "right"))
+            for d, text, a, b in zip(hit.tolist(), owner[hit].tolist(), left, right):
                 for item, k in places[a:b].tolist():
                     found[text, item].append((d - k, k))
         out = defaultdict(list)

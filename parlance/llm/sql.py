@@ -38,3 +38,31 @@ SELECT doc_id, size, source_size, target::DOUBLE AS target,
        (size * (epochs + CASE WHEN extra THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM sampled
 """
+
+ORACLES["op7_dedup_lines"] = r"""
+WITH lines AS (
+  SELECT doc_id, k::BIGINT AS k, string_split(text, chr(10))[k] AS line,
+         len(string_split(text, chr(10))) AS n
+  FROM documents, generate_series(1, len(string_split(text, chr(10)))) AS g(k)
+  WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+hashed AS (SELECT *, (('0x' || substr(md5(line), 1, 8))::BIGINT) % 2147483647 AS h FROM lines),
+ends AS (
+  SELECT *, CASE WHEN (coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY k), 0) * 1000003 + h) % 2147483647 % 3 = 0
+                 THEN 1 ELSE 0 END AS ends FROM hashed),
+placed AS (
+  SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM ends),
+chunked AS (
+  SELECT doc_id, place, string_agg(line, chr(10) ORDER BY k) AS chunk, count(*) AS n_lines,
+         count(*) FILTER (WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) AS with_words
+  FROM placed GROUP BY doc_id, place),
+judged AS (
+  SELECT *, n_lines >= 2 AND with_words >= 2 AND len(regexp_extract_all(chunk, '[^\x20\x09-\x0D]+')) >= 8 AS eligible FROM chunked),
+turned AS (
+  SELECT *, CASE WHEN eligible THEN row_number() OVER (PARTITION BY eligible, chunk ORDER BY doc_id, place) ELSE 1 END AS turn FROM judged),
+cleaned AS (
+  SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE turn = 1), '') AS text,
+         coalesce(sum(n_lines) FILTER (WHERE turn > 1), 0)::BIGINT AS removed_lines
+  FROM turned GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE c.text END AS text, coalesce(c.removed_lines, 0)::BIGINT AS removed_lines
+FROM documents d LEFT JOIN cleaned c ON d.doc_id = c.doc_id
+"""
