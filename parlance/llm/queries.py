@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language, line_dedup, mixing, quality, simhash, tiff
+from . import decontamination, html_text, language, line_dedup, mixing, pii, quality, simhash, tiff
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -23,6 +23,11 @@ def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(tiff.explode_pages(stored, "key", "media"))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, key="query-key")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,6 +66,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_tiff_pages": op3_tiff_pages,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_decontaminate": op5_decontaminate,
     "op6_extract_html": op6_extract_html,
     "op7_dedup_lines": op7_dedup_lines,
