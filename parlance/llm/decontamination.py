@@ -17,6 +17,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +70,19 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return kind, lower, upper, joins
 
 
-def canonical(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The template tokens of texts: (text's index, code, value) arrays.
+class Tokens(NamedTuple):
+    """Arrays with an entry for each token: its text's index, code, value, first character there, length; whether it is a number."""
+
+    text: np.ndarray
+    code: np.ndarray
+    value: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    is_number: np.ndarray
+
+
+def canonical(texts: list[str]) -> Tokens:
+    """The template tokens of texts.
 
     Tokens are runs of letters and runs of digits, with single points, commas and
     colons between digits. A run of digits is a number; a unit's name after a
@@ -108,12 +120,13 @@ def canonical(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if (after := np.nonzero(after_number)[0]).size:
         code[after[np.isin(value[after], _unit_values())]] = UNIT
     code[of == SIGN], code[of == DIGIT] = UNIT, NUMBER
-    return text, code, value
+    first_of = np.cumsum([1] + [len(t) + 1 for t in texts])
+    return Tokens(text, code, value, cut - first_of[text], size, of == DIGIT)
 
 
 @lru_cache(1)
 def _unit_values() -> np.ndarray:
-    return canonical(UNITS)[2]
+    return canonical(UNITS).value
 
 
 def windows(code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +147,7 @@ class Block:
         self.items = []
         entries = defaultdict(list)
         for item_id, text in items:
-            _, code, value = canonical([text])
+            _, code, value, *_ = canonical([text])
             if len(code) < LEAST_TOKENS:
                 continue
             n = min(window, len(code))
@@ -171,7 +184,7 @@ class Block:
         return out
 
     def _matches(self, texts: list[str]) -> dict[int, list[tuple[int, int, int, bool]]]:
-        owner, code, value = canonical(texts)
+        owner, code, value, *_ = canonical(texts)
         found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for n, (seen, hashes, places) in self.by_size.items():
             own, _ = windows(code, n)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language, line_dedup, mixing, pii, quality, simhash, tiff
+from . import decontamination, html_text, language, licenses, line_dedup, mixing, pii, quality, simhash, tiff
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -18,6 +18,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tiff.store_texts(table(spark, sf_dir, "documents"))
     return tiff.digests(tiff.explode_pages(stored, "key", "media"))
@@ -65,6 +69,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_scan_licenses": op2_scan_licenses,
     "op3_tiff_pages": op3_tiff_pages,
     "op4_pii_surrogates": op4_pii_surrogates,
     "op5_decontaminate": op5_decontaminate,

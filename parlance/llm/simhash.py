@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed
 from .components import connected_components
@@ -139,13 +140,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(doc_id, fp long, component_id) for every row of docs (doc_id, text).
+    """(doc_id, fp long, root long, component_id) for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id that can be reached over links of radius
-    differing bits or fewer, the document itself included. Texts without words,
-    null ones too, have the fingerprint 0 and are linked like any other. Rows with
-    equal texts are in one component; a null doc_id is never the smallest, and
-    component_id is null only where no row of a component has an id.
+    differing bits or fewer, the document itself included; root, a fingerprint,
+    also names the component. Texts without words, null ones too, have the
+    fingerprint 0 and are linked like any other. Rows with equal texts are in one
+    component; a null doc_id is never the smallest, and component_id is null only
+    where no row of a component has an id. No rows in, no rows out; other columns
+    of docs are left out.
     """
     found = fingerprints(docs)
     distinct = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
@@ -153,5 +156,33 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     distinct = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     distinct = distinct.withColumn("root", F.coalesce("root", "fp"))
     groups = distinct.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = distinct.select("fp", "root").join(groups, "root").select("fp", "component_id")
-    return found.join(checkpointed(groups), "fp").select("doc_id", "fp", "component_id")
+    groups = distinct.select("fp", "root").join(groups, "root").select("fp", "root", "component_id")
+    return found.join(checkpointed(groups), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def _with_fingerprints(docs: DataFrame) -> DataFrame:
+    at, names = docs.columns.index("text"), [*docs.columns, "_fp"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(x.as_py()) for x in batch.column(at).cast(pa.binary())], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names)
+
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+
+
+def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of docs for each component, unchanged: that of the smallest doc_id, a null id coming last.
+
+    Where ids are null or repeated, the fingerprint decides between rows of one
+    id, and of rows equal in both any one stays.
+    """
+    found = checkpointed(near_duplicates(docs, radius))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp")).alias("first"))
+    first = checkpointed(first.select(F.col("first.doc_id").alias("_id"), F.col("first.fp").alias("_kept")))
+    unclear = found.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    if unclear.isEmpty():
+        return docs.join(first, F.col("doc_id") == F.col("_id"), "left_semi")
+    marked = _with_fingerprints(docs)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept"))
+    return marked.join(first, same, "left_semi").dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
