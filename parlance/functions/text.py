@@ -15,6 +15,11 @@ ADVERBS = ["לא", "ממש", "מאוד", "כבר", "עדיין", "קצת", "רק
 AND_PREFIX, FEMININE, PLURAL, INFINITIVE = "ו", "ת", "ות", "ל"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often body uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
+
+
 def strip_marks(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), MARKS, "")
 
@@ -143,19 +148,26 @@ def error_kind(code: Column, body: Column) -> Column:
 
 def anchor_trim(answer: Column, before: Column, after: Column, norm=normalise) -> Column:
     """The answer without its longest start that ends `before`, and its longest end that starts `after`."""
+    clean = lambda tokens: F.transform(tokens, lambda t: norm(t))
 
-    def cut(tokens: Column, other: Column, at_start: bool) -> Column:
-        own, its = F.transform(tokens, lambda t: norm(t)), F.transform(words_of(other), lambda t: norm(t))
+    def longest(own: Column, its: Column, at_start: bool) -> Column:
         most = F.least(F.size(own), F.size(its))
         sizes = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
         if at_start:
             fits = F.filter(sizes, lambda k: F.slice(own, 1, k) == F.slice(its, F.size(its) - k + 1, k))
         else:
             fits = F.filter(sizes, lambda k: F.slice(own, F.size(own) - k + 1, k) == F.slice(its, 1, k))
-        k = F.coalesce(F.array_max(fits), F.lit(0))
-        return F.slice(tokens, k + 1, F.size(tokens)) if at_start else F.slice(tokens, 1, F.size(tokens) - k)
+        return F.coalesce(F.array_max(fits), F.lit(0))
+
+    def cut_start(tokens: Column) -> Column:
+        both = F.struct(clean(tokens).alias("own"), clean(words_of(before)).alias("its"))
+        return let(both, lambda b: F.slice(tokens, longest(b["own"], b["its"], True) + 1, F.size(tokens)))
+
+    def cut_end(tokens: Column) -> Column:
+        both = F.struct(clean(tokens).alias("own"), clean(words_of(after)).alias("its"))
+        return let(both, lambda b: F.slice(tokens, 1, F.size(tokens) - longest(b["own"], b["its"], False)))
 
-    return F.array_join(cut(cut(words_of(answer), before, True), after, False), " ")
+    return F.array_join(let(let(words_of(answer), cut_start), cut_end), " ")
 
 
 def repeats(tokens: Column, run: int = 5) -> Column:
@@ -168,8 +180,7 @@ def is_plausible(text: Column, hyp_a: Column, hyp_b: Column, script: str = r"[\x
     """An answer that has the script, 0.3 to 3 times the letters of the longer hypothesis and no token five times in a row."""
     length = lambda x: solid_length(normalise(x))
     ratio = length(text) / F.greatest(length(hyp_a), length(hyp_b), F.lit(1))
-    own = words_of(normalise(text))
-    return (F.size(own) > 0) & text.rlike(script) & ratio.between(0.3, 3.0) & ~repeats(own)
+    return let(words_of(normalise(text)), lambda own: (F.size(own) > 0) & text.rlike(script) & ratio.between(0.3, 3.0) & ~repeats(own))
 
 
 def rewrite_ok(before: Column, after: Column) -> Column:

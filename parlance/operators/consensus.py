@@ -46,10 +46,9 @@ def align_streams(a: DataFrame, b: DataFrame, by_probability: bool = False, marg
         + [T.StructField(c, T.DoubleType()) for c in ("prob_a", "prob_b", "start", "end")]
     )
 
-    def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        # A side without the call may come without columns.
-        left, right = (rows.sort_values(["start", "idx"]) if len(rows) else pd.DataFrame(columns=NEEDED) for rows in (left, right))
-        call = (left if len(left) else right)["call_id"].iloc[0]
+    def align(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["start", "idx"])
+        call, left, right = group["call_id"].iloc[0], group[group["_side"] == 0], group[group["_side"] == 1]
         codes = SequenceMatcher(None, [_norm(w) for w in left["word"]], [_norm(w) for w in right["word"]], autojunk=False).get_opcodes()
         rows = []
         for k, (op, i, i_end, j, j_end) in enumerate(codes):
@@ -63,7 +62,8 @@ def align_streams(a: DataFrame, b: DataFrame, by_probability: bool = False, marg
             )
         return pd.DataFrame(rows, columns=schema.names)
 
-    return a.select(*NEEDED).groupBy("call_id").cogroup(b.select(*NEEDED).groupBy("call_id")).applyInPandas(align, schema)
+    both = a.select(*NEEDED, F.lit(0).alias("_side")).unionByName(b.select(*NEEDED, F.lit(1).alias("_side")))
+    return both.groupBy("call_id").applyInPandas(align, schema)
 
 
 def merged_words(a: DataFrame, b: DataFrame, parts: DataFrame) -> DataFrame:

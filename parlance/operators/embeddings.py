@@ -49,8 +49,8 @@ def nearest_centroid(sims: DataFrame, idx: str = "vec_id", least_margin: float =
     """(keys, idx, best, sim, margin, decided): the most similar centroid, the first label on a tie, and its lead over the second."""
     order = F.sort_array(F.collect_list(F.struct(F.round("sim", 9).alias("sim"), (-F.col("centroid_label")).alias("back"))), asc=False)
     top = sims.groupBy(*keys, idx).agg(order.alias("o"))
-    lead = F.round(F.get("o", 0)["sim"] - F.coalesce(F.get("o", 1)["sim"], F.lit(-1.0)), 6)
-    return top.select(*keys, idx, (-F.get("o", 0)["back"]).alias("best"), F.round(F.get("o", 0)["sim"], 6).alias("sim"), lead.alias("margin"), (lead >= least_margin).alias("decided"))
+    lead = F.round(F.get("o", 0)["sim"] - F.coalesce(F.get("o", 1)["sim"], F.lit(-1.0)), 9)
+    return top.select(*keys, idx, (-F.get("o", 0)["back"]).alias("best"), F.get("o", 0)["sim"].alias("sim"), lead.alias("margin"), (lead >= least_margin).alias("decided"))
 
 
 def purify(vectors: DataFrame, drop: float = 0.2, idx: str = "vec_id", vec: str = "vec") -> DataFrame:

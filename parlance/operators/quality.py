@@ -44,7 +44,7 @@ def speaker_share(turns: DataFrame, keys=KEYS) -> DataFrame:
     held = turns.groupBy(*keys, "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("_sec"))
     total = F.sum("_sec").over(Window.partitionBy(*keys))
     pct = F.when(total > 0, 100 * F.col("_sec") / total).otherwise(0.0)
-    return held.select(*keys, "speaker", F.round("_sec", 3).alias("seconds"), F.round(pct, 1).alias("pct"))
+    return held.select(*keys, "speaker", F.round("_sec", 3).alias("seconds"), F.round(F.round(pct, 6), 1).alias("pct"))
 
 
 def repeated_lines(turns: DataFrame, keys=KEYS, idx: str = "turn_id") -> DataFrame:
@@ -112,7 +112,7 @@ def assess(turns: DataFrame, words: DataFrame | None = None, expected: int | Non
         "buried",
         "buried_examples",
         F.round(F.col("buried") / F.greatest("turns", F.lit(1)), 4).alias("buried_rate"),
-        F.round(F.coalesce("_dominant", F.lit(0.0)), 1).alias("dominant_pct"),
+        F.round(F.round(F.coalesce("_dominant", F.lit(0.0)), 6), 1).alias("dominant_pct"),
         F.round(F.col("words") / speech, 2).alias("words_per_speech_sec"),
     )
     return out.withColumn("verdict", verdict(expected)).withColumn("problems", problems(expected))

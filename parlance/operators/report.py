@@ -105,8 +105,8 @@ def compare_metrics(turns: DataFrame, keys=("call_id",)) -> DataFrame:
     return held.groupBy(*keys).agg(
         F.sum("_n").alias("turns"),
         F.round(total, 2).alias("speech_sec"),
-        F.round(F.coalesce(F.sum("_n") / F.nullif(total / 60, F.lit(0.0)), F.lit(0.0)), 2).alias("switch_rate"),
-        F.round(F.coalesce(100 * F.max("_sec") / F.nullif(total, F.lit(0.0)), F.lit(0.0)), 1).alias("dominant_pct"),
+        F.round(F.round(F.coalesce(F.sum("_n") / F.nullif(total / 60, F.lit(0.0)), F.lit(0.0)), 6), 2).alias("switch_rate"),
+        F.round(F.round(F.coalesce(100 * F.max("_sec") / F.nullif(total, F.lit(0.0)), F.lit(0.0)), 6), 1).alias("dominant_pct"),
     )
 
 

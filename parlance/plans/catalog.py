@@ -335,7 +335,7 @@ def centroids(spark, sf_dir):
 def nearest_centroid(spark, sf_dir):
     vectors = T.vectors(spark, sf_dir)
     out = V.nearest_centroid(V.similarities(vectors, V.centroids(vectors)))
-    return out.select("vec_id", "best", F.round("sim", 5).alias("sim"), F.round("margin", 5).alias("margin"))
+    return out.select("vec_id", "best", F.round("sim", 4).alias("sim"), F.round("margin", 4).alias("margin"))
 
 
 @query

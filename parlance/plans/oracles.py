@@ -18,7 +18,7 @@ dom AS (SELECT {k}, 100 * max(sec) / nullif(sum(sec), 0) AS d FROM held GROUP BY
 rep AS (SELECT {k}, sum(c - 1)::BIGINT AS repeated FROM (SELECT {k}, trim(text) AS x, count(*) AS c FROM {t}
     WHERE """ + _TOKENS.format("text") + r""" >= 3 GROUP BY {k}, trim(text) HAVING count(*) > 1) GROUP BY {k}),
 rated AS (SELECT calls.*, coalesce(rep.repeated, 0)::BIGINT AS repeated, round(buried / greatest(turns, 1), 4) AS buried_rate,
-    round(coalesce(d, 0), 1) AS dominant_pct, round(words / CASE WHEN speech = 0 THEN 1.0 ELSE speech END, 2) AS words_per_speech_sec
+    round(round(coalesce(d, 0), 6), 1) AS dominant_pct, round(words / CASE WHEN speech = 0 THEN 1.0 ELSE speech END, 2) AS words_per_speech_sec
     FROM calls JOIN dom USING ({k}) LEFT JOIN rep USING ({k})),
 ruled AS (SELECT *, (speakers > 2)::INT + (speakers < 2)::INT + (repeated > 0)::INT + (stretched > 0)::INT + (buried > 0)::INT
     + (buried >= 3 AND dominant_pct > 85)::INT AS n_rules FROM rated),
@@ -38,7 +38,7 @@ SELECT call_id, turns, words, speakers, repeated, stretched, buried, buried_rate
 
 ORACLES["speaker_share"] = f"""WITH {TURNS}, h AS (SELECT call_id, speaker, sum("end" - start) AS sec FROM turns GROUP BY ALL)
 SELECT call_id, speaker, round(sec, 3) AS seconds,
-  round(CASE WHEN sum(sec) OVER (PARTITION BY call_id) > 0 THEN 100 * sec / sum(sec) OVER (PARTITION BY call_id) ELSE 0.0 END, 1) AS pct FROM h"""
+  round(round(CASE WHEN sum(sec) OVER (PARTITION BY call_id) > 0 THEN 100 * sec / sum(sec) OVER (PARTITION BY call_id) ELSE 0.0 END, 6), 1) AS pct FROM h"""
 
 ORACLES["repeated_lines"] = (
     r"""WITH l AS (SELECT source AS call_id, doc_id, k, trim(string_split(text, chr(10))[k]) AS x
@@ -62,8 +62,8 @@ WHERE seconds >= 2.0 AND n_words / greatest(seconds, 1e-6) < 0.8
 )
 
 ORACLES["compare_metrics"] = f"""WITH {TURNS}, h AS (SELECT call_id, speaker, sum("end" - start) AS sec, count(*) AS n FROM turns GROUP BY ALL)
-SELECT call_id, sum(n)::BIGINT AS turns, round(sum(sec), 2) AS speech_sec, round(coalesce(sum(n) / nullif(sum(sec) / 60, 0), 0), 2) AS switch_rate,
-  round(coalesce(100 * max(sec) / nullif(sum(sec), 0), 0), 1) AS dominant_pct FROM h GROUP BY call_id"""
+SELECT call_id, sum(n)::BIGINT AS turns, round(sum(sec), 2) AS speech_sec, round(round(coalesce(sum(n) / nullif(sum(sec) / 60, 0), 0), 6), 2) AS switch_rate,
+  round(round(coalesce(100 * max(sec) / nullif(sum(sec), 0), 0), 6), 1) AS dominant_pct FROM h GROUP BY call_id"""
 
 ORACLES["segment_majority"] = f"""WITH {SEGMENTS}, c AS (SELECT call_id, floor(start / 86400)::BIGINT AS day, speaker, count(*) AS n, min(idx) AS first FROM segments WHERE speaker IS NOT NULL GROUP BY ALL)
 SELECT call_id, day, speaker FROM c QUALIFY row_number() OVER (PARTITION BY call_id, day ORDER BY n DESC, first) = 1"""
@@ -269,7 +269,7 @@ sims AS (SELECT vec_id, w.label, c.label AS other, round(list_dot_product(uv, c.
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, other) AS r FROM sims),
 near AS (SELECT vec_id, max(other) FILTER (r = 1) AS best, max(sim) FILTER (r = 1) AS sim, max(sim) FILTER (r = 1) - coalesce(max(sim) FILTER (r = 2), -1.0) AS margin FROM ranked GROUP BY vec_id)"""
 
-ORACLES["nearest_centroid"] = f"WITH {_UNIT}, {_CENT}, {_NEAR} SELECT vec_id, best, round(round(sim, 6), 5) AS sim, round(round(margin, 6), 5) AS margin FROM near"
+ORACLES["nearest_centroid"] = f"WITH {_UNIT}, {_CENT}, {_NEAR} SELECT vec_id, best, round(sim, 4) AS sim, round(margin, 4) AS margin FROM near"
 
 ORACLES["purify"] = f"""WITH {_UNIT}, {_CENT},
 own AS (SELECT w.vec_id, w.label, w.v, round(list_dot_product(uv, c.c), 9) AS sim FROM vecs w JOIN cents c USING (label)),
