@@ -34,15 +34,27 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": ("", ""), "cyrillic": ("ова", "ов"), "greek": ("ου", "ος")}
 
-_NAME = "(?:" + "|".join(x for names in GIVEN.values() for n in names for x in (n, n.upper())) + ")"
+
+def any_of(words: list[str]) -> str:
+    """A pattern for any of words that shares their common starts, so that a mismatch shows at the first letters."""
+    parts = []
+    for first in sorted({w[0] for w in words if w}):
+        parts.append(("\\" + first if first in ".()" else first) + any_of([w[1:] for w in words if w.startswith(first)]))
+    if not parts:
+        return ""
+    body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+    return f"(?:{body})?" if "" in words else body
+
+
+_NAMES = [x for names in GIVEN.values() for n in names for x in (n, n.upper())]
+_NAME, _TITLE = any_of(_NAMES), any_of(TITLES)
 _SURNAME = r"\p{Lu}[\p{L}’]+(?:-\p{Lu}[\p{L}’]+)?"
-_TITLE = "(?:" + "|".join(t.replace(".", r"\.") for t in TITLES) + ")"
 #: Kinds in the order in which a found string is told to be of one; each is a pattern for Java.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "key": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,64}|sk-[A-Za-z0-9_-]{20,128})(?![0-9A-Za-z])",
-    "secret": r"(?<=(?:token|secret|password|api_key) ?[=:] ?[\"'])[^\"'\s]{8,128}(?=[\"'])",
+    "secret": r"(?<=[\"'])(?<=(?:token|secret|password|api_key) ?[=:] ?[\"'])[^\"'\s]{8,128}(?=[\"'])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?\d{4}){3,7}(?: ?\d{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![0-9]|\.[0-9])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -51,8 +63,8 @@ KINDS = {
     "person": rf"(?<!\p{{L}})(?:(?:{_TITLE} )?{_NAME}(?: {_NAME}| \p{{Lu}}\.)?(?: (?:{'|'.join(PARTICLES)}))* {_SURNAME}|{_TITLE} {_SURNAME})(?!\p{{L}})",
 }
 PATTERN = "|".join(KINDS.values())
-#: A text without a match of this holds no entity: a digit, an @, a quoted secret, or two words in title case.
-HINT = r"[0-9@]|[=:] ?[\"']|\p{Lu}[\p{L}’]*\.? (?:[\p{Ll}]{2,3} ){0,2}\p{Lu}|[0-9a-fA-F]{32}"
+#: A text without a match of this holds no entity: a digit, an @, a quoted secret, or a given name or title as a word.
+HINT = rf"[0-9@]|[=:] ?[\"']|(?<!\p{{L}})(?:{_NAME}|{_TITLE})[ -]|[a-fA-F]{{32}}"
 #: Draws after which a surrogate gives up its form for a tag that is distinct by its hash.
 MOST_DRAWS = 8
 
