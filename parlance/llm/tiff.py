@@ -99,16 +99,15 @@ def lzw(data: bytes) -> bytes:
         codes[prefix, byte] = free
         free += 1
         prefix = byte
-        if free == (1 << width) - 1 and width < MOST_BITS:
+        if free == 1 << width and width < MOST_BITS:
             width += 1
-        elif free == (1 << MOST_BITS) - 2:
+        elif free == (1 << MOST_BITS) - 1:
             put(CLEAR, width)
             codes.clear()
             width, free = 9, FIRST
     if prefix >= 0:
         put(prefix, width)
-        # The reader adds an entry for that code before it reads the next one.
-        if free + 1 == (1 << width) - 1 and width < MOST_BITS:
+        if free + 1 == 1 << width and width < MOST_BITS:
             width += 1
     put(STOP, width)
     if used:
