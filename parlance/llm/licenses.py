@@ -138,6 +138,12 @@ class Scanner:
                 continue
             low, high = max(after, first - lead - allowed), min(len(values), first - lead + span)
             pairs = patience(wanted, values[low:high].tolist())
+            if pairs and len(pairs) + allowed >= len(wanted):
+                # The first word may have been another's: align again from where the template would start.
+                at = max(after, low + pairs[0][1] - pairs[0][0] - allowed)
+                again = patience(wanted, values[at : at + span + allowed].tolist())
+                if len(again) > len(pairs):
+                    low, pairs = at, again
             if len(pairs) + allowed >= len(wanted) and numbers <= {wanted[i] for i, _ in pairs}:
                 last = low + pairs[-1][1]
                 yield name, len(wanted), len(pairs), low + pairs[0][1], last
