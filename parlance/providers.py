@@ -58,6 +58,10 @@ class Called:
         make, attempts, transient = self.make, self.attempts, self.transient
         names = [c.strip().split(" ")[0] for c in self.schema.split(",")]
 
+        def unanswered(rows: pd.DataFrame, e: Exception) -> pd.DataFrame:
+            held = {c: list(rows[c]) if c in rows else [None] * len(rows) for c in names}
+            return pd.DataFrame(held, dtype=object).assign(error=str(e) or type(e).__name__)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             answer = make()
             for rows in batches:
@@ -66,9 +70,9 @@ class Called:
                         out = answer(rows).assign(error=None)
                         break
                     except transient as e:
-                        out = rows.reindex(columns=names).assign(error=str(e) or type(e).__name__)
+                        out = unanswered(rows, e)
                     except Exception as e:  # noqa: BLE001  one bad batch never stops the job
-                        out = rows.reindex(columns=names).assign(error=str(e) or type(e).__name__)
+                        out = unanswered(rows, e)
                         break
                 yield out[[*names, "error"]]
 
