@@ -1,7 +1,7 @@
 """Turns over a stream of words, with the rule of the batch operator.
 
 State per call is the open turn alone. A turn is given out when the next word
-closes it, or when the watermark has passed its end by more than the pause.
+closes it, or after a time without words if one is set.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ STATE = "turn_id long, speaker string, start double, end double, text string, n_
 OUTPUT = f"call_id string, {STATE}"
 
 
-def turns_from_word_stream(words: DataFrame, gap: float = 1.0, timeout_ms: int = 60_000) -> DataFrame:
+def turns_from_word_stream(words: DataFrame, gap: float = 1.0, timeout_ms: int | None = None) -> DataFrame:
     """Turns of a stream of words (call_id, idx, word, start, end, speaker), appended as they close.
 
     Words of a call must arrive in order up to a micro-batch, within which they are
-    sorted. timeout_ms: processing time without words after which a turn closes.
+    sorted. timeout_ms: processing time without words after which a turn closes. A
+    query with one runs batches without data for ever, so it suits only queries
+    that don't end; without one a call's last turn stays open.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -40,10 +42,12 @@ def turns_from_word_stream(words: DataFrame, gap: float = 1.0, timeout_ms: int =
                 else:
                     now = (now[0], speaker, now[2], float(end), f"{now[4]} {word}", now[5] + 1)
             state.update(now)
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame([(key[0], *t) for t in done], columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
-    return words.groupBy("call_id").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return words.groupBy("call_id").applyInPandasWithState(update, OUTPUT, STATE, "append", timeout)
 
 
 def word_counts(words: DataFrame, watermark: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
