@@ -24,6 +24,8 @@ SHARE = 1.5
 MOST_EPOCHS = 2.0
 #: Rows that a bucket holds at most, in expectation.
 BUCKET_ROWS = 4096
+#: Tables with a row per source are broadcast up to so many sources, some 10 MB; with more they are joined by shuffles.
+BROADCAST_SOURCES = 100_000
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -100,9 +102,14 @@ def mix_sources(
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
         .withColumn("buckets", F.ceil(F.col("n") * F.col("most_w") / F.col("least_w") / bucket_rows).cast("long"))
     )
+    few = sources.count() <= BROADCAST_SOURCES
+
+    def per_source(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if few else table
+
     #: 1 - exp(-key * least weight) is monotone in the key and has a density of at most most_w / least_w.
     place = 1.0 - F.exp(-F.col("key") * F.col("least_w"))
-    placed = slim.join(sources, name).withColumn("bucket", F.least(F.floor(place * F.col("buckets")), F.col("buckets") - 1))
+    placed = slim.join(per_source(sources), name).withColumn("bucket", F.least(F.floor(place * F.col("buckets")), F.col("buckets") - 1))
     along = Window.partitionBy(*name).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     border = (
         placed.groupBy(*name, "bucket", "rest")
@@ -117,7 +124,7 @@ def mix_sources(
     order = ["key", "doc_id", "size"]
     inside = Window.partitionBy(*name).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     last = (
-        placed.join(border, name)
+        placed.join(per_source(border), name)
         .filter(F.col("bucket") == F.col("border_bucket"))
         .withColumn("prefix", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .filter(2 * F.col("prefix") + F.col("size") <= 2 * F.col("rest"))
@@ -133,7 +140,7 @@ def mix_sources(
         (bucket < F.col("border_bucket"))
         | ((bucket == F.col("border_bucket")) & F.coalesce(F.struct(*order) <= F.col("last_taken"), F.lit(False)))
     )
-    return slim.join(ends, name).select(
+    return slim.join(per_source(ends), name).select(
         "doc_id",
         F.when(~F.col("source_null"), F.col("source")).alias("source"),
         "size",
