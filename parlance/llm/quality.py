@@ -9,6 +9,7 @@ margins turns its margin into a score.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -173,8 +174,6 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column) -> list[tuple[str
 
 
 def hash_of(value) -> int:
-    import zlib
-
     return zlib.crc32(str(value).encode())
 
 

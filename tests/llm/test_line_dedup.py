@@ -63,7 +63,7 @@ def test_shifted_passage_is_cut_alike():
     assert sum(c.count("\n") + 1 for c in shared) > 40
 
 
-def test_other_bytes_stay(spark, monkeypatch):
+def test_single_chunks_stay(spark):
     docs = spark.createDataFrame([(1, "one two three four five\nsix seven eight nine"), (2, "a b c d e\nf g h i j")], "doc_id long, text string")
     before = [(r.doc_id, r.text) for r in docs.collect()]
     assert [(r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] == before
