@@ -97,9 +97,7 @@ def turns(*rows):
 
 def test_collapse(table):
     t = table(turns(("A", 50.0, "x"), ("C", 5.0, "x"), ("B", 45.0, "x")), TURN)
-    assert of(A.collapse_speakers(t), "start", "speaker", "end", "applied") == [(0, "B", 55, True), (55, "B", 100, True)] or of(
-        A.collapse_speakers(t), "start", "speaker", "end", "applied"
-    ) == [(0, "A", 50, True), (50, "B", 100, True)]
+    assert of(A.collapse_speakers(t), "start", "speaker", "end", "applied") == [(0, "A", 50, True), (50, "B", 100, True)]
     t = table(turns(("A", 50.0, "x"), ("B", 30.0, "x"), ("C", 20.0, "x")), TURN)
     assert [r[1] for r in of(A.collapse_speakers(t), "start", "speaker")] == ["A", "B", "C"]
 
