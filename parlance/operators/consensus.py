@@ -9,13 +9,14 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from .intervals import KEYS, along
+from .intervals import KEYS, along, dealt
 
 _DROP = re.compile(r"[^\w֐-׿]+")
 
@@ -27,8 +28,25 @@ def _norm(word: str | None) -> str:
     return _DROP.sub("", word or "").lower().strip()
 
 
-def _mean(rows: pd.DataFrame) -> float:
-    return float(rows["probability"].fillna(0.0).mean()) if len(rows) else 0.0
+class _Stream:
+    """The words of one side of a call, in order, as plain lists and arrays."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.word = [w or "" for w in rows["word"]]
+        self.normal = [_norm(w) for w in self.word]
+        self.idx = rows["idx"].astype(int).tolist()
+        self.probability = rows["probability"].fillna(0.0).to_numpy(float)
+        self.start, self.end = (rows[c].to_numpy(float) for c in ("start", "end"))
+
+    def mean(self, i: int, j: int) -> float:
+        return float(self.probability[i:j].mean()) if j > i else 0.0
+
+    def text(self, i: int, j: int) -> str:
+        return " ".join(self.word[i:j])
+
+    def span(self, i: int, j: int) -> tuple[float, float]:
+        """Least start and largest end; null times are passed over."""
+        return float(np.fmin.reduce(self.start[i:j])), float(np.fmax.reduce(self.end[i:j]))
 
 
 def align_streams(a: DataFrame, b: DataFrame, by_probability: bool = False, margin: float = 0.05) -> DataFrame:
@@ -48,22 +66,19 @@ def align_streams(a: DataFrame, b: DataFrame, by_probability: bool = False, marg
 
     def align(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["start", "idx"])
-        call, left, right = group["call_id"].iloc[0], group[group["_side"] == 0], group[group["_side"] == 1]
-        codes = SequenceMatcher(None, [_norm(w) for w in left["word"]], [_norm(w) for w in right["word"]], autojunk=False).get_opcodes()
+        call, of_b = group["call_id"].iloc[0], group["_side"].to_numpy() == 1
+        left, right = _Stream(group[~of_b]), _Stream(group[of_b])
+        codes = SequenceMatcher(None, left.normal, right.normal, autojunk=False).get_opcodes()
         rows = []
         for k, (op, i, i_end, j, j_end) in enumerate(codes):
-            x, y = left.iloc[i:i_end], right.iloc[j:j_end]
-            p, q = _mean(x), _mean(y)
+            p, q = left.mean(i, i_end), right.mean(j, j_end)
             take_b = op == "insert" or (op == "replace" and by_probability and q > p + margin)
-            own = y if take_b else x
-            rows.append(
-                (call, k, op, "b" if take_b else "a", x["idx"].astype(int).tolist(), y["idx"].astype(int).tolist(), " ".join(x["word"]), " ".join(y["word"]), p, q)
-                + (float(own["start"].min()), float(own["end"].max()))
-            )
+            span = right.span(j, j_end) if take_b else left.span(i, i_end)
+            rows.append((call, k, op, "b" if take_b else "a", left.idx[i:i_end], right.idx[j:j_end], left.text(i, i_end), right.text(j, j_end), p, q, *span))
         return pd.DataFrame(rows, columns=schema.names)
 
     both = a.select(*NEEDED, F.lit(0).alias("_side")).unionByName(b.select(*NEEDED, F.lit(1).alias("_side")))
-    return both.groupBy("call_id").applyInPandas(align, schema)
+    return dealt(both, "call_id").groupBy("call_id").applyInPandas(align, schema)
 
 
 def merged_words(a: DataFrame, b: DataFrame, parts: DataFrame) -> DataFrame:
@@ -298,7 +313,7 @@ def collapse_loops(words: DataFrame, most: int = 3, keys=KEYS) -> DataFrame:
                     i += 1
         return rows.iloc[kept].assign(loops=loops)
 
-    return words.groupBy(*keys).applyInPandas(scan, schema)
+    return dealt(words, *keys).groupBy(*keys).applyInPandas(scan, schema)
 
 
 def ends_of_frames(path: DataFrame, frame_sec: float, least: float = 0.0, keys=KEYS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, dot, unit
-from .intervals import KEYS
+from .intervals import KEYS, dealt
 
 
 def window_plan(spans: DataFrame, length: float = 1.5, hop: float = 0.25, voiced: DataFrame | None = None, least_voiced: float = 0.5, keys=KEYS) -> DataFrame:
@@ -220,7 +220,7 @@ def cluster(vectors: DataFrame, k: int | None = None, keys=KEYS, idx: str = "win
         label, score = max(found, key=lambda f: f[1])
         return rows[[*keys, idx]].assign(cluster=label.astype("int32"), separation=round(score, 6))
 
-    return vectors.select(*keys, idx, vec).groupBy(*keys).applyInPandas(run, f"{kinds}, cluster int, separation double")
+    return dealt(vectors.select(*keys, idx, vec), *keys).groupBy(*keys).applyInPandas(run, f"{kinds}, cluster int, separation double")
 
 
 def spark_kmeans(vectors: DataFrame, k: int, idx: str = "vec_id", vec: str = "vec", seed: int = 0) -> DataFrame:

@@ -16,6 +16,11 @@ def along(keys=KEYS, order=("start", "idx")):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df in as many partitions by keys as shuffles have, for folds whose work exceeds what their bytes tell: adaptive merging leaves these partitions alone."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def islands(df: DataFrame, begins: Column, keys=KEYS, order=("start", "idx"), name: str = "island") -> DataFrame:
     """Adds the number (from 0) of the island that a row is in; a row begins one where begins is true, and the first row always does."""
     w = along(keys, order)
@@ -259,7 +264,7 @@ def pack_windows(spans: DataFrame, low: float, high: float, adaptive: bool = Fal
             k = cut + 1
         return pd.DataFrame(out, columns=[*keys, "window", "start", "end"])
 
-    return spans.select(*keys, "span_idx", "start", "end").groupBy(*keys).applyInPandas(pack, f"{kinds}, window int, start double, end double")
+    return dealt(spans.select(*keys, "span_idx", "start", "end"), *keys).groupBy(*keys).applyInPandas(pack, f"{kinds}, window int, start double, end double")
 
 
 #: Window lengths of the segmentation variants: low, high, cut at the longest pause, seconds of overlap.
