@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 WINDOW, LITERAL = 8, 0.5
 #: Tokens that an item has at least; shorter ones would match clean text by chance and are reported by `too_short`.
 LEAST_TOKENS = 5
-#: Share of an item's tokens that consistent windows must cover.
-COVERAGE = 0.5
+#: An item is held if consistent windows cover this share of its tokens, or this many in a row, whatever its length:
+#: RUN with the item's own values, or REWORDED_RUN, as up to half of those may be placeholders.
+COVERAGE, RUN, REWORDED_RUN = 0.5, 13, 26
 #: UTF-8 bytes of benchmark text in a block.
 BLOCK_BYTES = 16 << 20
 
@@ -197,21 +198,32 @@ class Block:
         out = defaultdict(list)
         for (text, item), hits in sorted(found.items()):
             item_id, wanted, n = self.items[item]
-            if min(len({k for _, k in hits}) * n, len(wanted)) < COVERAGE * len(wanted):
+            if min(len({k for _, k in hits}) * n, len(wanted)) < min(COVERAGE * len(wanted), RUN):
                 continue
             covered, changed = _consistent(hits, n, wanted, value)
-            if len(covered) >= COVERAGE * len(wanted):
+            if covered:
                 out[text].append((item_id, len(wanted), len(covered), changed))
         return out
 
 
+def _longest_run(places: set[int]) -> int:
+    """The most consecutive numbers in places."""
+    best = run = 0
+    before = None
+    for j in sorted(places):
+        run = run + 1 if j - 1 == before else 1
+        best, before = max(best, run), j
+    return best
+
+
 def _consistent(hits: list[tuple[int, int]], n: int, wanted: list[int], values: np.ndarray) -> tuple[set[int], bool]:
     """Tokens of the item that windows (offset, place) cover whose values map one to one; and whether any differs.
 
     Offsets within half an item's length of the one before are one copy of it,
     with words put in or left out. In each copy a value stands for the one that it
     is paired with most often, the least on a tie; windows in which another pair
-    occurs don't count. The copy with the most covered tokens is returned.
+    occurs don't count. Of the copies that hold the item, the one with the most
+    covered tokens is returned; no tokens if none does.
     """
     best: tuple[set[int], bool] = (set(), False)
     by_offset = defaultdict(list)
@@ -232,7 +244,9 @@ def _consistent(hits: list[tuple[int, int]], n: int, wanted: list[int], values:
             if a not in there and b not in back:
                 there[a], back[b] = b, a
         covered = {k + i for o in offsets for k in by_offset[o] if all(there.get(wanted[k + i]) == values[o + k + i] for i in range(n)) for i in range(n)}
-        if len(covered) > len(best[0]):
+        same = {j for j in covered if there[wanted[j]] == wanted[j]}
+        held = len(covered) >= COVERAGE * len(wanted) or _longest_run(same) >= RUN or _longest_run(covered) >= REWORDED_RUN
+        if held and len(covered) > len(best[0]):
             best = covered, any(there[wanted[j]] != wanted[j] for j in covered)
     return best
 

@@ -78,6 +78,19 @@ def test_slots_must_agree():
     assert whole[2] == whole[1] and whole[3] and part[2] < whole[2]
 
 
+def test_passages_of_long_items():
+    rng = random.Random(6)
+    long, longer = item(rng, 200), item(rng, 2000)
+    block = D.Block([(1, long), (2, longer)])
+    part = lambda text, a, b: " ".join(text.split()[a:b])
+    around = lambda text: f"{item(rng, 40)} {text} {item(rng, 40)}"
+    found = block.matches([around(part(long, 70, 130)), around(part(longer, 600, 1500)), around(part(long, 50, 63)), around(part(long, 50, 62)), item(rng, 3000)])
+    assert found == [[(1, 200, 60, False)], [(2, 2000, 900, False)], [(1, 200, 13, False)], [], []]
+    bought = lambda name, n: f"in town {name} then bought {n} kg of flour and some more bags of sugar for the {n} old neighbours who live with {name} over there"
+    block = D.Block([(3, bought("Peter", 12) + " . " + long)])
+    assert block.matches([bought("Maria", 70) + " . " + item(rng, 200)]) == [[(3, 226, 26, True)]]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
