@@ -5,6 +5,8 @@ placeholders. Windows of a benchmark item's template are hash-joined with the
 windows of every document; matches are lined up by item and offset, and the
 values behind the placeholders must map to each other one to one, so a question
 asked again with other numbers and names is found and a chance pattern is not.
+Windows of the words themselves are joined beside them, so that a verbatim copy is
+found whatever its case and however many placeholders its template has.
 
 The benchmark is the small side of the hash join. It is taken in blocks of
 bounded size, each sent to the workers as sorted hashes; documents are not
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 #: Tokens in a window; an item that is shorter is one window. Literal tokens that a window has at least, as a share.
 WINDOW, LITERAL = 8, 0.5
-#: Tokens that an item has at least; shorter ones would match clean text by chance and are reported by `too_short`.
+#: Tokens that a template has at least; of shorter items only verbatim copies are found. `too_short` lists those.
 LEAST_TOKENS = 5
 #: An item is held if consistent windows cover this share of its tokens, or this many in a row, whatever its length:
 #: RUN with the item's own values, or REWORDED_RUN, as up to half of those may be placeholders.
@@ -50,6 +52,7 @@ NUMBER, UNIT, NAME = np.array([1, 2, 3], np.uint64)
 ROUND = 1 << 18
 #: Bits of a window's hash by which it is looked for first.
 LEADING = 20
+LOOK = np.uint64(64 - LEADING)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(256)], np.uint64)
 
@@ -149,13 +152,15 @@ class Block:
         entries = defaultdict(list)
         for item_id, text in items:
             _, code, value, *_ = canonical([text])
-            if len(code) < LEAST_TOKENS:
+            if not len(code):
                 continue
             n = min(window, len(code))
-            hashes, literal = windows(code, n)
-            #: An item of one window stands for itself; of the rest a window needs enough words of its own.
-            for k in np.nonzero((literal >= LITERAL * n) | (len(code) == n))[0].tolist():
-                entries[n].append((int(hashes[k]), len(self.items), k))
+            own = {(int(h), k) for k, h in enumerate(windows(value, n)[0])}
+            if len(code) >= LEAST_TOKENS:
+                hashes, literal = windows(code, n)
+                #: An item of one window stands for itself; of the rest a template's window needs enough words of its own.
+                own |= {(int(hashes[k]), k) for k in np.nonzero((literal >= LITERAL * n) | (len(code) == n))[0].tolist()}
+            entries[n] += [(h, len(self.items), k) for h, k in own]
             self.items.append((item_id, value.tolist(), n))
         self.by_size = {}
         for n, rows in entries.items():
@@ -163,7 +168,7 @@ class Block:
             hashes = np.array([r[0] for r in rows], np.uint64)
             #: Most windows end at a look into this table by leading bits.
             seen = np.zeros(1 << LEADING, bool)
-            seen[hashes >> np.uint64(64 - LEADING)] = True
+            seen[hashes >> LOOK] = True
             self.by_size[n] = (seen, hashes, np.array([r[1:] for r in rows], np.int64))
 
     def matches(self, texts: list[str | None]) -> list[list[tuple[int, int, int, bool]]]:
@@ -187,20 +192,26 @@ class Block:
     def _matches(self, texts: list[str]) -> dict[int, list[tuple[int, int, int, bool]]]:
         owner, code, value, *_ = canonical(texts)
         found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        verbatim: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for n, (seen, hashes, places) in self.by_size.items():
-            own, _ = windows(code, n)
-            hit = np.nonzero(seen[own >> np.uint64(64 - LEADING)])[0]
-            hit = hit[owner[hit] == owner[hit + n - 1]]
-            left, right = (np.searchsorted(hashes, own[hit], side).tolist() for side in ("left", "right"))
-            for d, text, a, b in zip(hit.tolist(), owner[hit].tolist(), left, right):
-                for item, k in places[a:b].tolist():
-                    found[text, item].append((d - k, k))
+            plain, _ = windows(value, n)
+            template, _ = windows(code, n)
+            for own, which in ((plain, seen[plain >> LOOK]), (template, seen[template >> LOOK] & (template != plain))):
+                hit = np.nonzero(which)[0]
+                hit = hit[owner[hit] == owner[hit + n - 1]]
+                left, right = (np.searchsorted(hashes, own[hit], side).tolist() for side in ("left", "right"))
+                for d, text, a, b in zip(hit.tolist(), owner[hit].tolist(), left, right):
+                    for item, k in places[a:b].tolist():
+                        found[text, item].append((d - k, k))
+                        if own is plain:
+                            verbatim[text, item].append((d - k, k))
         out = defaultdict(list)
         for (text, item), hits in sorted(found.items()):
             item_id, wanted, n = self.items[item]
             if min(len({k for _, k in hits}) * n, len(wanted)) < min(COVERAGE * len(wanted), RUN):
                 continue
-            covered, changed = _consistent(hits, n, wanted, value)
+            #: Placeholders that also fit elsewhere can't spoil a verbatim copy, as it is judged by itself.
+            covered, changed = max((_consistent(h, n, wanted, value) for h in (verbatim[text, item], hits)), key=lambda x: len(x[0]))
             if covered:
                 out[text].append((item_id, len(wanted), len(covered), changed))
         return out
@@ -275,8 +286,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     """(doc_id, item_id, tokens, covered, coverage, reworded) for each document and item it holds.
 
     Only documents that hold an item have rows. Null and empty texts hold none;
-    items without id or text, or of under five tokens, are not looked for; equal
-    items are reported each; a repeated document has rows for each of its rows.
+    items without id or text, or without a letter or digit, are not looked for, and
+    those of under five tokens only word for word; equal items are reported each; a
+    repeated document has rows for each of its rows.
     """
     kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id")))
     schema = f"doc_id {kind}, item_id {item_kind}, tokens long, covered long, coverage double, reworded boolean"
@@ -300,7 +312,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
 
 
 def too_short(benchmark: DataFrame) -> DataFrame:
-    """Items that `contaminated` doesn't look for, for want of tokens."""
+    """Items that `contaminated` looks for only word for word, or not at all, for want of tokens."""
     words = F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+"))
     return benchmark.filter(F.col("text").isNull() | (words < LEAST_TOKENS))
 

@@ -91,6 +91,23 @@ def test_passages_of_long_items():
     assert block.matches([bought("Maria", 70) + " . " + item(rng, 200)]) == [[(3, 226, 26, True)]]
 
 
+def test_verbatim_copies_are_found():
+    items = {
+        1: "What is 12 + 7 - 3 * 4 + 9 - 2 + 6 * 8 + 1?",
+        2: "Mayor Anna Smith Opens New Harbour Bridge After Long Delay In Hamburg",
+        3: "Who wrote Faust?",
+        4: "1990 12 1991 14 1992 17 1993 22 1994 31",
+        5: "7 7 7 7 7 7 7 7 7 7 7 7",
+        6: "?!",
+        7: "The Mayor Of Hamburg",
+    }
+    block = D.Block(list(items.items()))
+    for k in (1, 2, 3, 4, 5, 7):
+        for text in (items[k], items[k].lower(), items[k].upper()):
+            assert (k, False) in [(m[0], m[3]) for m in block.matches([f"so he said {text} and went on"])[0]]
+    assert block.matches(["So he asked who wrote it, and the mayor of Bremen said 13 + 8 - 4 ?! 7 7 7"]) == [[]]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
