@@ -75,7 +75,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Tokens(NamedTuple):
-    """Arrays with an entry for each token: its text's index, code, value, first character there, length; whether it is a number."""
+    """Arrays with an entry for each token: its text's index, code, value, first character there, length; whether it is a number.
+
+    And the codes of its other readings: with title-case words as names where they
+    begin a sentence too, and with no names.
+    """
 
     text: np.ndarray
     code: np.ndarray
@@ -83,6 +87,8 @@ class Tokens(NamedTuple):
     start: np.ndarray
     size: np.ndarray
     is_number: np.ndarray
+    named: np.ndarray
+    nameless: np.ndarray
 
 
 def canonical(texts: list[str]) -> Tokens:
@@ -120,12 +126,14 @@ def canonical(texts: list[str]) -> Tokens:
     first = np.concatenate([[True], sentence[1:] != sentence[:-1]])[: len(cut)]
     after_number = np.concatenate([[False], of[:-1] == DIGIT])[: len(cut)] & ~first
     code = value.copy()
-    code[(of == LETTER) & ~first & (size > 1) & (capitals == 1) & upper[codes[cut]]] = NAME
+    title = (of == LETTER) & (size > 1) & (capitals == 1) & upper[codes[cut]]
     if (after := np.nonzero(after_number)[0]).size:
         code[after[np.isin(value[after], _unit_values())]] = UNIT
     code[of == SIGN], code[of == DIGIT] = UNIT, NUMBER
+    named = np.where(title & (code != UNIT), NAME, code)
+    nameless, code = code, np.where(first, code, named)
     first_of = np.cumsum([1] + [len(t) + 1 for t in texts])
-    return Tokens(text, code, value, cut - first_of[text], size, of == DIGIT)
+    return Tokens(text, code, value, cut - first_of[text], size, of == DIGIT, named, nameless)
 
 
 @lru_cache(1)
@@ -151,15 +159,17 @@ class Block:
         self.items = []
         entries = defaultdict(list)
         for item_id, text in items:
-            _, code, value, *_ = canonical([text])
+            _, code, value, _, _, _, named, nameless = canonical([text])
             if not len(code):
                 continue
             n = min(window, len(code))
             own = {(int(h), k) for k, h in enumerate(windows(value, n)[0])}
             if len(code) >= LEAST_TOKENS:
-                hashes, literal = windows(code, n)
-                #: An item of one window stands for itself; of the rest a template's window needs enough words of its own.
-                own |= {(int(hashes[k]), k) for k in np.nonzero((literal >= LITERAL * n) | (len(code) == n))[0].tolist()}
+                for reading in (code, nameless, named):
+                    hashes, literal = windows(reading, n)
+                    #: An item of one window stands for itself, unless its first word is taken for a name; else a template's window needs enough words of its own.
+                    alone = len(code) == n and reading is not named
+                    own |= {(int(hashes[k]), k) for k in np.nonzero((literal >= LITERAL * n) | alone)[0].tolist()}
             entries[n] += [(h, len(self.items), k) for h, k in own]
             self.items.append((item_id, value.tolist(), n))
         self.by_size = {}
@@ -190,13 +200,18 @@ class Block:
         return out
 
     def _matches(self, texts: list[str]) -> dict[int, list[tuple[int, int, int, bool]]]:
-        owner, code, value, *_ = canonical(texts)
+        owner, code, value, _, _, _, named, nameless = canonical(texts)
         found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         verbatim: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for n, (seen, hashes, places) in self.by_size.items():
-            plain, _ = windows(value, n)
-            template, _ = windows(code, n)
-            for own, which in ((plain, seen[plain >> LOOK]), (template, seen[template >> LOOK] & (template != plain))):
+            readings = [windows(value, n)[0]]
+            for reading in (nameless, code, named) if n >= LEAST_TOKENS else ():
+                readings.append(windows(reading, n)[0])
+            plain = readings[0]
+            for r, own in enumerate(readings):
+                which = seen[own >> LOOK]
+                for before in readings[:r]:
+                    which &= own != before
                 hit = np.nonzero(which)[0]
                 hit = hit[owner[hit] == owner[hit + n - 1]]
                 left, right = (np.searchsorted(hashes, own[hit], side).tolist() for side in ("left", "right"))

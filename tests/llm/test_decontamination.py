@@ -108,6 +108,22 @@ def test_verbatim_copies_are_found():
     assert block.matches(["So he asked who wrote it, and the mayor of Bremen said 13 + 8 - 4 ?! 7 7 7"]) == [[]]
 
 
+def test_readings_of_capitalised_words():
+    items = {
+        1: "What is the boiling point of water",
+        2: "Anna has 5 apples left",
+        3: "Gestern kaufte Anna im Laden 3 Hefte und 2 Stifte und zahlte dafür 9 Euro",
+        4: "Peter Jones met Anna Smith",
+    }
+    block = D.Block(list(items.items()))
+    found = lambda text: [(m[0], m[3]) for m in block.matches([text])[0]]
+    assert found("Question: What is the boiling point of water") == found("Yes. What is the boiling point of water") == [(1, False)]
+    assert found("Peter has 7 apples left") == found("Question: Peter has 7 apples left") == [(2, True)]
+    assert found("So. gestern kaufte anna im laden 4 hefte und 7 stifte und zahlte dafür 8 euro") == [(3, True)]
+    assert found("Heute kaufte Maria im Laden 4 Hefte und 7 Stifte und zahlte dafür 8 Euro") == [(3, True)]
+    assert found("Then Maria Brown met Julia Green") == []
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
