@@ -46,16 +46,35 @@ def any_of(words: list[str]) -> str:
     return f"(?:{body})?" if "" in words else body
 
 
+#: The countries of IBANs by length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return any_of(countries.split()) + rf"\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: An IBAN of its country's length; or of any code and length, in groups that hold a digit but for the first. Eight digits keep words in capitals out.
+_IBAN = (
+    r"(?=[A-Z]{2}\d{2}(?: ?[A-Z]{0,12} ?\d){6})(?:(?:"
+    + "|".join(_iban(*x) for x in IBAN_LENGTHS.items())
+    + r")(?![0-9A-Za-z])|[A-Z]{2}\d{2} ?[A-Z0-9]{4}(?:[A-Z0-9]{4}| (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){2,6}(?: \d{1,3}|[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"
+)
 _NAMES = [x for names in GIVEN.values() for n in names for x in (n, n.upper())]
 _NAME, _TITLE = any_of(_NAMES), any_of(TITLES)
 _SURNAME = r"\p{Lu}[\p{L}’]+(?:-\p{Lu}[\p{L}’]+)?"
 #: Kinds in the order in which a found string is told to be of one; each is a pattern for Java.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "key": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,64}|sk-[A-Za-z0-9_-]{20,128})(?![0-9A-Za-z])",
-    "secret": r"(?<=[\"'])(?<=(?:token|secret|password|api_key) ?[=:] ?[\"'])[^\"'\s]{8,128}(?=[\"'])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?\d{4}){3,7}(?: ?\d{1,3})?(?![0-9A-Za-z])",
+    "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
+    "key": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+)(?![0-9A-Za-z])",
+    "secret": r"(?<=[\"'])(?<=(?:token|secret|password|api_key) ?[=:] ?[\"'])[^\"'\s]{8,}+(?=[\"'])",
+    "iban": rf"(?<![0-9A-Za-z]){_IBAN}",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![0-9]|\.[0-9])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
@@ -86,8 +105,8 @@ def kind_of(value: Column) -> Column:
     first = {"email": F.contains(value, F.lit("@"))}
     shapes = {
         "hex": r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$",
-        "key": r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,64}|sk-[A-Za-z0-9_-]{20,128})$",
-        "iban": r"^[A-Z]{2}\d{2} ?\d{4}",
+        "key": r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+)$",
+        "iban": r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2}[A-Z0-9 ]*$",
         "ip": r"^\d{1,3}(?:\.\d{1,3}){3}$",
         "ssn": r"^\d{3}-\d{2}-\d{4}$",
     }
@@ -121,15 +140,16 @@ def _formatted(value: Column, digest: Column, hexadecimal: bool = False) -> Colu
     digits = F.translate(digest, "abcdef", "358146")
     letters = F.translate(digest, "0123456789abcdef", "bcdfghjklmnpqrst")
 
-    def draw(i: Column) -> Column:
-        c, at = F.substr(value, i, F.lit(1)), F.pmod(i * 7, F.lit(64)) + 1
+    def draw(c: Column, i: Column) -> Column:
+        at = F.pmod((i + 1) * 7, F.lit(64)) + 1
         if hexadecimal:
-            h = F.substr(digest, at, F.lit(1))
-            return F.when(value.rlike("[A-F]"), F.upper(h)).otherwise(h)
+            return F.substr(digest, at, F.lit(1))
         letter = F.substr(letters, at, F.lit(1))
         return F.when(c.rlike("[0-9]"), F.substr(digits, at, F.lit(1))).when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), F.upper(letter)).otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), draw), "")
+    #: By characters and not by places, as looking up a place takes as long as it is far into the value.
+    drawn = F.array_join(F.transform(F.split(value, ""), draw), "")
+    return F.when(value.rlike("[A-F]"), F.upper(drawn)).otherwise(drawn) if hexadecimal else drawn
 
 
 def _byte(digest: Column, k: int) -> Column:

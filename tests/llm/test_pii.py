@@ -65,6 +65,25 @@ def test_distinct_entities_stay_distinct(spark):
     assert len({r.surrogate for r in rows}) == len(rows) == 400
 
 
+def test_long_and_lettered_entities(spark):
+    jwt = ".".join(("eyJhbGciOiJIUzI1NiJ9" * 2, "Zm9vYmFyYmF6cXV4" * 20, "c2lnbmF0dXJl-_x"))
+    found = [
+        "GB29 NWBK 6016 1331 9268 19", "NL91ABNA0417164300", "FR14 2004 1010 0505 0001 3M02 606", "FR1420041010050500013M02606", "NO93 8601 1117 947",
+        "MT84MALT011000012345MTLCAST001S", "DE89 3704 0044 0532 0130 00", "XX12 3456 7890 1234", "ZZ12 ABCD 1234 5678 90",
+        "sk-" + "aB3x" * 50, "ghp_" + "Zz9" * 40, "a1b2" * 60, "sk-" + "q7" * 40_000,
+    ]
+    texts = [f"pay {x} NOW" for x in found] + [f"token = '{jwt}' end", f'password: "{"pQ7!" * 60}" end', "AT10 FROM NEXT WEEK ONLY and AB12 CDEF GHIJ KLMN"]
+    out = run(spark, texts)
+    form = lambda x: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", x)))
+    for i, (x, text) in enumerate(zip(found, texts)):
+        assert out[i].n_entities == 1 and x not in out[i].text and out[i].text.startswith("pay ") and out[i].text.endswith(" NOW"), text[:60]
+        assert x[:4] == "a1b2" or form(out[i].text) == form(text), text[:60]
+    assert out[0].text.startswith("pay GB") and out[9].text.startswith("pay sk-")
+    for i in (len(found), len(found) + 1):
+        assert out[i].n_entities == 1 and form(out[i].text) == form(texts[i]) and out[i].text != texts[i]
+    assert jwt[-12:] not in out[len(found)].text and out[len(texts) - 1].text == texts[-1]
+
+
 def test_key_and_repeats(spark):
     a, b, c = run(spark, TEXTS), run(spark, TEXTS), run(spark, TEXTS, "other")
     assert a == b and a[0].text != c[0].text
