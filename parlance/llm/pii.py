@@ -82,8 +82,8 @@ KINDS = {
     "person": rf"(?<!\p{{L}})(?:(?:{_TITLE} )?{_NAME}(?: {_NAME}| \p{{Lu}}\.)?(?: (?:{'|'.join(PARTICLES)}))* {_SURNAME}|{_TITLE} {_SURNAME})(?!\p{{L}})",
 }
 PATTERN = "|".join(KINDS.values())
-#: A text without a match of this holds no entity: a digit, an @, a quoted secret, or a given name or title as a word.
-HINT = rf"[0-9@]|[=:] ?[\"']|(?<!\p{{L}})(?:{_NAME}|{_TITLE})[ -]|[a-fA-F]{{32}}"
+#: A text without a match of this holds no entity: a digit, an @, a quoted secret, a key's start, or a given name or title as a word.
+HINT = rf"[0-9@]|[=:] ?[\"']|(?<!\p{{L}})(?:{_NAME}|{_TITLE})[ -]|[a-fA-F]{{32}}|(?<![0-9A-Za-z])(?:AKIA|gh[pousr]_|sk-)"
 #: Draws after which a surrogate gives up its form for a tag that is distinct by its hash.
 MOST_DRAWS = 8
 

@@ -84,6 +84,18 @@ def test_long_and_lettered_entities(spark):
     assert jwt[-12:] not in out[len(found)].text and out[len(texts) - 1].text == texts[-1]
 
 
+def test_hint_passes_all_that_is_found(spark):
+    bare = ["sk-" + "abcdefghij" * 2, "AKIA" + "ABCDEFGHIJKLMNOP", *(f"gh{c}_" + "abcdefghi" * 4 for c in "pousr")]
+    others = ["a@b.org", "abcdef" * 6, "ABCDEF" * 6, "token='abcdefgh'", 'api_key : "abcdefgh"', "NO93 8601 1117 947", "1.1.1.1", "123-45-6789", "4111111111111111", "+1 555 555 5555"]
+    names = [f"{x} Abcde" for x in [*pii._NAMES, *pii.TITLES]]
+    texts = [f"see {x} there" for x in bare + others + names]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    missed = docs.filter(docs.text.rlike(pii.PATTERN) & ~docs.text.rlike(pii.HINT))
+    assert missed.collect() == [] and docs.filter(docs.text.rlike(pii.PATTERN)).count() == len(texts)
+    out = run(spark, texts[: len(bare)])
+    assert all(out[i].n_entities == 1 and x not in out[i].text for i, x in enumerate(bare))
+
+
 def test_key_and_repeats(spark):
     a, b, c = run(spark, TEXTS), run(spark, TEXTS), run(spark, TEXTS, "other")
     assert a == b and a[0].text != c[0].text
