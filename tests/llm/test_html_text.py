@@ -1,6 +1,12 @@
+import random
+import time
+
+import pytest
+
 from parlance.llm import html_text as H
 
 TEXT = "This is the first paragraph of the article and it says what the rest of it is about in a sentence or two."
+LONG = f"{TEXT} {TEXT} {TEXT}"
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p><p>no";</script></head>
 <body class="has-sidebar"><header><a href="/">Site</a></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies for the good of all.</div>
 <article><header><h1>Head &amp; line</h1></header><p>{TEXT}<p>Short.<p>Caf&eacute;&nbsp;&#x4e2d; <b>bold</b>
@@ -18,6 +24,115 @@ def test_density_rules_without_an_article():
     assert H.main_text(html) == f"Title {TEXT} {TEXT} {TEXT} Tiny. {TEXT} {TEXT}"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f'<article><p>{LONG}</p><p class="advert">{LONG}</p></article>', LONG),
+        (f'<article><p>{LONG} <span class="ad">Buy <b>it</b></span>and more</p></article>', f"{LONG} and more"),
+        (f'<article><p>{LONG}</p><div id="commentsection"><p>{LONG}</p></div></article>', LONG),
+        (f'<p class="cookie-notice">{LONG} cookies</p><p>{LONG}</p>', LONG),
+        (f'<nav>{LONG}</nav><article class="related-story"><h1>Head</h1><p>{LONG}</p></article>', f"Head {LONG}"),
+        (f'<div class="search-results login"><p>{LONG}</p><div class="related">{LONG}</div></div>', LONG),
+        (f"<p>{LONG} <a title=it's href=x>a link</a></p>", f"{LONG} a link"),
+        (f'<p class="commentary-text">{LONG}</p>', LONG),
+        (f"<p>{LONG}<p hidden>{LONG}<p>Last words", f"{LONG} Last words"),
+        (f'<div><div class="cookie">{TEXT}<div>{TEXT}</div></div></div><p>{LONG}', LONG),
+        (f"<select><option>a<option>b</select><p>{LONG}<textarea>x<p></textarea><p>{LONG}", f"{LONG} {LONG}"),
+        (f"<p>{LONG} 1 < 2 and 3<4 &lt;b&gt;</p>", f"{LONG} 1 < 2 and 3<4 <b>"),
+        (f'<p data-x="a > b" data-y=\'>\'>{LONG}</p>', LONG),
+        (f'<p>{LONG}</p><a href="x><p>{LONG}</p>', f"{LONG} {LONG}"),
+        ("<nav>Menu</nav><article><h1>Tiny</h1><p>No more.</p></article><footer>f</footer>", "Tiny No more."),
+        (f"<article><p>{LONG}</p></article><div>{LONG}</div>", LONG),
+        (f"<article><p>{'zxq ' * 60}</p></article>", ("zxq " * 60).strip()),
+        (f"<ul><li><a href=1>One page</a><li><a href=2>Two pages</a></ul><div><p>{TEXT}</p><p>{TEXT}</p></div>", f"{TEXT} {TEXT}"),
+        ("<div>" + "这是一个关于我们的网站的文章，在这里不是为了别的。" * 12 + "</div>", "这是一个关于我们的网站的文章，在这里不是为了别的。" * 12),
+    ],
+)
+def test_cases(html, text):
+    assert H.main_text(html) == text
+
+
+def test_pages_without_marks():
+    """Pages whose only clues are links, lengths and words: no article, no classes."""
+    rng = random.Random(3)
+    words = "the of and a to in it is that was letter stone garden walked evening river morning carried table under".split()
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    wrong = total = 0
+    for _ in range(200):
+        body, wanted = [], []
+        menu = "".join(f'<div><a href="/{k}">{prose(rng.randrange(1, 4))}</a></div>' for k in range(rng.randrange(3, 9)))
+        for k in range(rng.randrange(2, 9)):
+            wanted.append(prose(rng.choice((4, 25, 60, 120)) if 0 < k else 80))
+            body.append(f"<div>{wanted[-1]}</div>")
+        body.append(f"<div>{prose(70)}</div>")
+        wanted.append(body[-1][5:-6])
+        tail = "".join(f'<div><a href="/x{k}">{prose(6)}</a> {prose(1)}</div>' for k in range(4))
+        got = H.main_text(f"<body><div>{menu}</div><h2>{(head := prose(5))}</h2>{''.join(body)}<div>{tail}</div></body>")
+        total += 1
+        wrong += got != " ".join([head, *wanted])
+    assert wrong <= 0.05 * total
+
+
+def slow(found):
+    """Both passes by the words of the module's docstring, each block by itself."""
+    first = []
+    for b in found:
+        words = H.WORD.findall(b.text.lower())
+        density = sum(w in H.STOP_WORDS for w in words) / max(1, len(words))
+        first.append("bad" if 2 * b.linked > len(b.text) else ("bad" if 5 * b.linked > len(b.text) else "?") if len(b.text) < 70 else
+                     ("good" if len(b.text) >= 200 else "near") if density >= 0.25 else "near" if density >= 0.1 else "bad")
+    for i, b in enumerate(found):
+        if first[i] == "near":
+            a = z = i
+            while a and first[a - 1] in ("near", "run"):
+                a -= 1
+            while z + 1 < len(found) and first[z + 1] == "near":
+                z += 1
+            if z > a and sum(len(x.text) for x in found[a : z + 1]) >= 200:
+                first[i] = "run"
+    first = ["good" if x == "run" else x for x in first]
+    last = []
+    for i, b in enumerate(found):
+        sides = [[(abs(i - k), first[k]) for k in side if first[k] in ("good", "bad")] for side in (range(i), range(i + 1, len(found)))]
+        near = [min(s, default=None) for s in sides]
+        near = [x or near[1 - k] or (0, "bad") for k, x in enumerate(near)]
+        if first[i] in ("good", "bad"):
+            last.append(first[i])
+        elif near[0][1] == near[1][1]:
+            last.append(near[0][1])
+        elif first[i] == "near":
+            last.append("good")
+        elif b.heading:
+            last.append(near[1][1])
+        else:
+            last.append(min(near)[1] if near[0][0] != near[1][0] else "bad")
+    return last
+
+
+def test_both_passes_match_brute_force():
+    rng = random.Random(8)
+    words = "the of and house tree water lamp zebra".split()
+    for _ in range(500):
+        found = []
+        for _ in range(rng.randrange(0, 12)):
+            text = " ".join(rng.choice(words[: rng.choice((4, 8))] if rng.random() < 0.7 else words[3:]) for _ in range(rng.choice((3, 8, 20, 60))))
+            found.append(H.Block(text, rng.choice((0, 0, 0, len(text) // 4, len(text))), heading=rng.random() < 0.2))
+        assert [b.label for b in H.classify(found)] == slow(found)
+
+
+def test_density_decides_most_blocks(spark):
+    got = H.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).selectExpr("explode(blocks.by) AS by").groupBy("by").count().collect()
+    by = {r.by: r["count"] for r in got}
+    assert by["density"] > 0.5 * sum(by.values()) and by["evidence"] < 0.2 * sum(by.values())
+
+
+@pytest.mark.parametrize("part", ["<a '", "<div class=ad>", '<a x=">"', "<option>", "<title>", "<![CDATA[", "<li>", "<!--", "<span class=ad>", "</section>", "<p><b>"])
+def test_broken_markup_takes_linear_time(part):
+    began = time.perf_counter()
+    H.main_text("<div>" * 9000 + part * 9000 + "</p></i></div>" * 18000)
+    assert time.perf_counter() - began < 2.5
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, "t"), (2, "u", "", "t"), (3, None, "<p", "t"), (4, "u", "<article><p>a < b & c</article>", "t"), (4, "u", "<article><p>a < b & c</article>", "t"), (5, "u", "<script>x", "t")]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
