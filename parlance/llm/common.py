@@ -33,3 +33,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with underscores before it until no column of frames is called so."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: A key with more than this share of all rows, one in so many, is dealt over several tasks.
+HEAVY = 1000
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], heavy: int = HEAVY) -> DataFrame:
+    """The inner join of many with one, which has a row for a key at most; frequent keys are dealt over tasks.
+
+    Keys of more than one in heavy of all rows of many are counted first, with
+    partial sums before the shuffle. There are fewer than heavy of them, so their
+    table may be broadcast. The rows of such a key are split into parts of that
+    many rows, and its row of one is repeated for each. many and one are read
+    twice, so both should be checkpointed or cheap. Null keys match nothing.
+    """
+    total = many.count()
+    n, part = fresh("_parts", many, one), fresh("_part", many, one)
+    hot = many.groupBy(*keys).agg(F.count("*").alias(n)).filter(F.col(n) * heavy > total)
+    hot = checkpointed(hot.withColumn(n, F.ceil(F.col(n) * heavy / max(1, total)).cast("int")))
+    if hot.isEmpty():
+        return many.join(one, keys)
+    parts = F.coalesce(n, F.lit(1))
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn(part, F.pmod(F.xxhash64(*many.columns), parts).cast("int"))
+    copies = one.join(F.broadcast(hot), keys, "left").withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop(n).join(copies.drop(n), [*keys, part]).drop(part)

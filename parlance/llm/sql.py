@@ -42,27 +42,36 @@ FROM sampled
 ORACLES["op7_dedup_lines"] = r"""
 WITH lines AS (
   SELECT doc_id, k::BIGINT AS k, string_split(text, chr(10))[k] AS line,
-         len(string_split(text, chr(10))) AS n
+         regexp_matches(string_split(text, chr(10))[k], '[^\x20\x09-\x0D]') AS wordy
   FROM documents, generate_series(1, len(string_split(text, chr(10)))) AS g(k)
   WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-hashed AS (SELECT *, (('0x' || substr(md5(line), 1, 8))::BIGINT) % 2147483647 AS h FROM lines),
-ends AS (
-  SELECT *, CASE WHEN (coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY k), 0) * 1000003 + h) % 2147483647 % 3 = 0
-                 THEN 1 ELSE 0 END AS ends FROM hashed),
-placed AS (
-  SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM ends),
+hashed AS (
+  SELECT *, (('0x' || substr(md5(line), 1, 8))::BIGINT) % 2147483647 AS h,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50 AS passage FROM lines),
+ended AS (
+  SELECT *, CASE WHEN (coalesce(lag(h) OVER (PARTITION BY doc_id, wordy ORDER BY k), 0) * 1000003 + h) % 2147483647 % 64 = 0 AND NOT passage
+                 THEN 0 ELSE 1 END AS ends FROM hashed),
+started AS (
+  SELECT *, CASE WHEN NOT wordy OR row_number() OVER (PARTITION BY doc_id, wordy ORDER BY k) = 1 THEN 0 WHEN passage THEN 1
+                      ELSE lag(ends) OVER (PARTITION BY doc_id, wordy ORDER BY k) END AS starts FROM ended),
+placed AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY k) AS place FROM started),
 chunked AS (
-  SELECT doc_id, place, string_agg(line, chr(10) ORDER BY k) AS chunk, count(*) AS n_lines,
-         count(*) FILTER (WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) AS with_words
+  SELECT doc_id, place, string_agg(line, chr(10) ORDER BY k) AS whole, count(*) AS n_lines,
+         coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE wordy), '') AS chunk, count(*) FILTER (WHERE wordy) AS n
   FROM placed GROUP BY doc_id, place),
-judged AS (
-  SELECT *, n_lines >= 2 AND with_words >= 2 AND len(regexp_extract_all(chunk, '[^\x20\x09-\x0D]+')) >= 8 AS eligible FROM chunked),
-turned AS (
-  SELECT *, CASE WHEN eligible THEN row_number() OVER (PARTITION BY eligible, chunk ORDER BY doc_id, place) ELSE 1 END AS turn FROM judged),
+paired AS (SELECT *, lead(chunk) OVER (PARTITION BY doc_id ORDER BY place) AS following FROM chunked),
+units AS (
+  SELECT doc_id, place, TRUE AS pair, chunk AS a, following AS b FROM paired WHERE following IS NOT NULL
+  UNION ALL
+  SELECT doc_id, place, FALSE, chunk, '' FROM chunked WHERE n > 1 OR len(regexp_extract_all(chunk, '[^\x20\x09-\x0D]+')) >= 50),
+repeats AS (
+  SELECT doc_id, place, pair FROM units
+  QUALIFY row_number() OVER (PARTITION BY pair, a, b ORDER BY doc_id, place) > 1),
+gone AS (SELECT DISTINCT doc_id, place + step AS place FROM repeats, generate_series(0, 1) AS s(step) WHERE pair OR step = 0),
 cleaned AS (
-  SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE turn = 1), '') AS text,
-         coalesce(sum(n_lines) FILTER (WHERE turn > 1), 0)::BIGINT AS removed_lines
-  FROM turned GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE c.text END AS text, coalesce(c.removed_lines, 0)::BIGINT AS removed_lines
+  SELECT c.doc_id, coalesce(string_agg(whole, chr(10) ORDER BY c.place) FILTER (WHERE g.place IS NULL), '') AS text,
+         coalesce(sum(n_lines) FILTER (WHERE g.place IS NOT NULL), 0)::BIGINT AS removed_lines
+  FROM chunked c LEFT JOIN gone g ON c.doc_id = g.doc_id AND c.place = g.place GROUP BY c.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.text, d.text) END AS text, coalesce(c.removed_lines, 0)::BIGINT AS removed_lines
 FROM documents d LEFT JOIN cleaned c ON d.doc_id = c.doc_id
 """
