@@ -53,8 +53,8 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], heavy: int = H
     Keys of more than one in heavy of all rows of many are counted first, with
     partial sums before the shuffle. There are fewer than heavy of them, so their
     table may be broadcast. The rows of such a key are split into parts of that
-    many rows, and its row of one is repeated for each. many and one are read
-    twice, so both should be checkpointed or cheap. Null keys match nothing.
+    many rows, and its row of one is repeated for each. many is read three times,
+    so it should be checkpointed. Null keys match nothing.
     """
     total = many.count()
     n, part = fresh("_parts", many, one), fresh("_part", many, one)

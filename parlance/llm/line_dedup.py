@@ -147,7 +147,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     later = checkpointed(later.select(F.col("doc").alias("of"), F.col("row").alias("of_row"), "at", "source.*"))
     asked = later.groupBy("doc", "row").agg(F.collect_set("place").alias(wanted))
     texts = _texts(_beside(docs, asked, row, wanted), row, wanted)
-    found = spread_join(later, checkpointed(texts), ["doc", "row", "place"])
+    found = spread_join(later, texts, ["doc", "row", "place"])
     found = found.groupBy(F.col("of").alias("doc"), F.col("of_row").alias("row")).agg(F.collect_list(F.struct("at", "chunk")).alias(later_name))
     marked = _beside(docs, found, row, later_name)
     return marked.mapInArrow(_removal(kept), T.StructType([*docs.select(*kept).schema.fields, T.StructField("removed_lines", T.LongType())]))
