@@ -285,33 +285,46 @@ def rebase(words: DataFrame, targets: DataFrame, keys=("call_id", "d_idx")) -> D
     return rows.withColumns({"start": move("start"), "end": move("end")}).select(*words.columns)
 
 
+def repeats(said: np.ndarray, cycle: int) -> np.ndarray:
+    """How often the `cycle` tokens from each place on are said in a row there, once included; 1 where one of them is empty or missing."""
+    n = len(said)
+    same = np.zeros(n, bool)
+    same[: max(0, n - cycle)] = said[: max(0, n - cycle)] == said[cycle:]
+    place = np.arange(n)
+    #: The first place from each one on whose token isn't the one `cycle` later.
+    ends = np.minimum.accumulate(np.where(same, n, place)[::-1])[::-1] if n else place
+    times = 1 + (ends - place) // cycle
+    for k in range(cycle):
+        empty = np.ones(n, bool)
+        empty[: max(0, n - k)] = said[k:] == ""
+        times[empty] = 1
+    return times
+
+
 def collapse_loops(words: DataFrame, most: int = 3, keys=KEYS) -> DataFrame:
-    """words without the repeats of loops, and the loops of the call: cycles of one token, then two, said over `most` times keep the first `most`.
+    """words without the repeats of loops, and the loops of the call.
 
-    Tokens are compared in lower case without outer spaces and .,!? and must not be
-    empty. The scan starts again after each cut, so it is a fold within each call.
+    At each place, in time order, a cycle of one token is tried, then one of two;
+    one that is said over `most` times in a row keeps the first `most`, and the
+    scan goes on after its last time. Tokens are compared in lower case without
+    outer spaces and .,!? and must not be empty; null counts as empty. Linear in
+    the words of a call.
     """
     schema = T.StructType([*words.schema.fields, T.StructField("loops", T.IntegerType())])
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values(["start", "idx"]).reset_index(drop=True)
-        kept = list(range(len(rows)))
-        said = [(w or "").strip(" .,!?").lower() for w in rows["word"]]
-        loops = 0
-        for cycle in (1, 2):
-            i = 0
-            while i + cycle <= len(kept):
-                unit = [said[k] for k in kept[i : i + cycle]]
-                n = 1
-                while all(unit) and [said[k] for k in kept[i + n * cycle : i + (n + 1) * cycle]] == unit:
-                    n += 1
-                if n > most and (cycle == 1 or len(set(unit)) > 1):
-                    del kept[i + most * cycle : i + n * cycle]
-                    loops += 1
-                    i += most * cycle
-                else:
-                    i += 1
-        return rows.iloc[kept].assign(loops=loops)
+        said = np.array([(w or "").strip(" .,!?").lower() for w in rows["word"]], object)
+        times = {cycle: repeats(said, cycle) for cycle in (1, 2)}
+        looped = np.flatnonzero((times[1] > most) | (times[2] > most))
+        stays, after, loops = np.ones(len(rows), bool), 0, 0
+        for i in looped.tolist():
+            if i >= after:
+                cycle = 1 if times[1][i] > most else 2
+                after = i + cycle * int(times[cycle][i])
+                stays[i + cycle * most : after] = False
+                loops += 1
+        return rows[stays].assign(loops=loops)
 
     return dealt(words, *keys).groupBy(*keys).applyInPandas(scan, schema)
 

@@ -65,18 +65,28 @@ def wav_profile(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=PROFILE.names)
 
 
-def decode(data: bytes) -> tuple[np.ndarray, int]:
-    """Samples in -1..1, one column per channel, and the rate."""
+#: What broken or foreign sound data raise.
+UNREADABLE = (wave.Error, EOFError, TypeError, ValueError)
+
+
+def stored(data: bytes) -> tuple[np.ndarray, int, int]:
+    """Sample values as the file has them, one column per channel, their bits and the rate; data cut short within a sample lose that sample."""
     with wave.open(io.BytesIO(data)) as w:
         raw, width, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
+    octets = np.frombuffer(raw[: len(raw) // (width * channels) * width * channels], np.uint8).reshape(-1, width)
     if width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 3:
-        parts = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = (((parts[:, 0] << 8) | (parts[:, 1] << 16) | (parts[:, 2] << 24)) >> 8).astype(np.float32) / (1 << 23)
+        values = octets[:, 0].astype(np.int32)
     else:
-        x = np.frombuffer(raw, f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
-    return x.reshape(-1, channels), rate
+        wide = np.zeros((len(octets), 4), np.uint8)
+        wide[:, 4 - width :] = octets
+        values = wide.view("<i4")[:, 0] >> (32 - 8 * width)
+    return values.reshape(-1, channels), 8 * width, rate
+
+
+def decode(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples in -1..1, one column per channel, and the rate."""
+    values, bits, rate = stored(data)
+    return ((values.astype(np.float64) - (128 if bits == 8 else 0)) / (1 << (bits - 1))).astype(np.float32), rate
 
 
 @F.pandas_udf(T.StructType().add("samples", T.ArrayType(T.FloatType())).add("rate", T.IntegerType()))
@@ -89,21 +99,22 @@ def mono_16k(content: pd.Series) -> pd.DataFrame:
         try:
             x, rate = decode(data)
             out.append((_resample(x.mean(axis=1), rate, 16000).astype(np.float32), 16000))
-        except (wave.Error, EOFError, TypeError):
+        except UNREADABLE:
             out.append((None, None))
     return pd.DataFrame(out, columns=["samples", "rate"])
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def raw_samples(content: pd.Series) -> pd.Series:
-    """Sample values at the file's own depth, for counting levels."""
-    out = []
-    for data in content:
-        with wave.open(io.BytesIO(data)) as w:
-            raw, width = w.readframes(w.getnframes()), w.getsampwidth()
-        kind = np.uint8 if width == 1 else f"<i{width}"
-        out.append(np.frombuffer(raw, kind).astype(np.int32))
-    return pd.Series(out)
+    """Sample values at the file's own depth, for counting levels; null where they can't be read."""
+
+    def values(data: bytes | None) -> np.ndarray | None:
+        try:
+            return stored(data)[0].ravel()
+        except UNREADABLE:
+            return None
+
+    return pd.Series([values(x) for x in content], dtype=object)
 
 
 def fetch(base64_data: Column, url_data: Column) -> Column:

@@ -276,3 +276,35 @@ def test_gender_signals(table):
 def test_align_chunks(table):
     w = table(words(("A", 0, 10), ("A", 10.05, 21), ("A", 22, 23)), WORD)
     assert of(C.align_chunks(w), "idx", "chunk") == [(0, 0), (1, 0), (2, 1)]
+
+
+def slow_loops(said, most=3):
+    """The rule, place by place: a cycle of one token is tried before one of two."""
+    out, loops, i = [], 0, 0
+    while i < len(said):
+        for cycle in (1, 2):
+            unit, n = said[i : i + cycle], 1
+            while len(unit) == cycle and all(unit) and said[i + n * cycle : i + (n + 1) * cycle] == unit:
+                n += 1
+            if n > most:
+                out += said[i : i + most * cycle]
+                i, loops = i + n * cycle, loops + 1
+                break
+        else:
+            out.append(said[i])
+            i += 1
+    return out, loops
+
+
+def test_loops_match_the_rule_on_random_streams(spark):
+
+    rng = random.Random(5)
+    streams = {f"c{k}": [rng.choice(("a", "b", "", "c")[: rng.choice((2, 2, 3, 4))]) for _ in range(rng.randrange(1, 30))] for k in range(1000)}
+    streams["x"] = "a b a b a b a b b b b".split()
+    rows = [(c, i, w, float(i), i + 1.0) for c, ws in streams.items() for i, w in enumerate(ws)]
+    rng.shuffle(rows)
+    got = {}
+    for r in C.collapse_loops(spark.createDataFrame(rows, "call_id string, idx int, word string, start double, end double")).orderBy("call_id", "idx").collect():
+        got.setdefault(r.call_id, ([], r.loops))[0].append(r.word)
+    assert got == {c: slow_loops(ws) for c, ws in streams.items()}
+    assert len(got["x"][0]) == 9 and got["x"][1] == 1

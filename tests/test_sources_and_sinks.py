@@ -156,3 +156,41 @@ def test_word_stream(spark, tmp_path):
     drain()
     got = sorted((r.turn_id, r.speaker, r.start, r.end, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(0, "A", 0.0, 2.0, "hi you"), (1, "A", 3.5, 4.0, "yes"), (2, "B", 4.0, 5.0, "no")]
+
+
+def test_seeds_differ_by_recording(spark):
+    sound = (0.3 * np.random.default_rng(1).standard_normal(RATE)).tolist()
+    rows = spark.createDataFrame([("a", RATE, sound), ("b", RATE, sound)], "call_id string, rate int, samples array<float>")
+    names = spark.createDataFrame([("degrade",)], "name string")
+    one, two = [{r.call_id: r.samples for r in S.treat(x, names).collect()} for x in (rows, rows.orderBy("call_id", ascending=False))]
+    assert one == two and one["a"] != one["b"]
+    takes = {S.take_of(k) for k in range(200)}
+    assert len(takes) == 200 and 60 < sum(t.room_sec > 0 for t in takes) < 140 and all(-34 <= t.loudness_db <= -12 for t in takes)
+    steps = S.recorded_8_bit(0.3 * np.sin(np.arange(RATE)), RATE, 1) * 128
+    assert np.array_equal(steps, np.round(steps)) and not S.recorded_8_bit(np.full(RATE, 1e-3), RATE, 1).any()
+
+
+def test_tempo_keeps_pitch():
+    x = tone(2.0).astype(float)
+    slow = S.at_tempo(x, RATE, 0.8)
+    assert abs(len(slow) / len(x) - 1.25) < 0.05
+    peak = lambda y: np.argmax(np.abs(np.fft.rfft(y))) * RATE / len(y)
+    assert abs(peak(slow) - 440) < 5 and len(S.at_tempo(x[:10], RATE, 0.8)) == 10
+
+
+def wav(values, width, channels=1):
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(channels), w.setsampwidth(width), w.setframerate(RATE)
+        w.writeframes(b"".join(int(v).to_bytes(width, "little", signed=width > 1) for v in values))
+    return out.getvalue()
+
+
+def test_raw_samples_of_every_depth(spark):
+    held = {1: [0, 128, 255], 2: [-32768, 5, 32767], 3: [-(1 << 23), -1, (1 << 23) - 1], 4: [-(1 << 31), 7, (1 << 31) - 1]}
+    rows = [(k, wav(v, k)) for k, v in held.items()] + [(5, b"broken"), (6, None), (7, wav([1, 2], 2)[:-1])]
+    got = {r.k: r.x for r in spark.createDataFrame(rows, "k int, content binary").select("k", readers.raw_samples("content").alias("x")).collect()}
+    assert {k: got[k] for k in held} == held and got[5] is None and got[6] is None and got[7] == [1]
