@@ -1,8 +1,9 @@
 """Language identification by cross-parsing entropy.
 
 The labelled text of each language becomes a suffix automaton. A text is parsed
-against it into phrases, each the longest match from where the last one ended,
-and the language whose automaton needs the fewest phrases per symbol wins.
+against it into phrases, each the longest match from where the last one ended. A
+phrase grows with the logarithm of the text that was learned, so phrases are
+counted in units of it, and the language that needs the fewest per symbol wins.
 
 Cross-parsing is a walk over the automaton that starts a new phrase at its root
 where no transition fits, so the automaton is kept as a dense table with those
@@ -20,9 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The bounds of the training sample: documents per language, letters of each and letters per language.
-SAMPLE_DOCUMENTS, DOCUMENT_SYMBOLS, SAMPLE_SYMBOLS = 200, 2_000, 40_000
-#: Letters of all languages together; with many languages each gets its share.
+#: The bounds of the training sample: texts of a language, and symbols that are learned of it. Texts of up to SAMPLE_LENGTH characters come first.
+SAMPLE_TEXTS, SAMPLE_SYMBOLS, SAMPLE_LENGTH = 100, 40_000, 2_000
+#: Symbols of all languages together; with many languages each gets its share.
 ALL_SYMBOLS = 640_000
 #: A text is parsed in blocks of so many symbols; a phrase ends with its block.
 BLOCK = 512
@@ -30,6 +31,7 @@ BLOCK = 512
 ROUND = 1 << 21
 UNKNOWN = "und"
 SPACE, OTHER = 0, 1
+LETTER = 1
 
 
 def _codes(text: str) -> np.ndarray:
@@ -38,19 +40,21 @@ def _codes(text: str) -> np.ndarray:
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """For each code point whether it is a letter or a mark on one."""
+    """For each code point 1 for a letter, 2 for a mark, 0 for others."""
     import unicodedata
 
-    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+    return np.fromiter(("LM".find(unicodedata.category(chr(c))[0]) + 1 for c in range(0x110000)), np.uint8, 0x110000)
 
 
 def spelled(text: str) -> np.ndarray:
-    """Lower-cased code points, with each run of anything but letters as one 0; empty without letters."""
+    """Lower-cased code points, with each run of anything but letters and their marks as one 0; empty without letters."""
     codes = _codes(text)
-    codes = np.where(_letters()[codes], codes, 0)
+    kinds = _letters()[codes]
+    if not (kinds == LETTER).any():
+        return codes[:0]
+    codes = np.where(kinds > 0, codes, 0)
     keep = (codes != 0) | (np.concatenate([[0], codes[:-1]]) != 0)
-    codes = codes[keep]
-    return codes[:0] if not codes.any() else codes
+    return codes[keep]
 
 
 class Automaton:
@@ -108,10 +112,26 @@ class Model:
         self.index[0] = SPACE
         width = int(self.index.max()) + 1
         most = min(SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, len(samples)))
-        self.tables = []
+        self.tables, self.units = [], []
         for own in parts:
-            symbols = np.concatenate([np.zeros(1, np.int32), *(self.index[x] for x in own)])[:most]
+            symbols = self._learned([self.index[x] for x in own], most)
             self.tables.append(Automaton(symbols.tolist(), width).table)
+            #: What a phrase counts: the logarithm of the symbols it was looked for in.
+            self.units.append(np.log2(len(symbols) + 2))
+
+    @staticmethod
+    def _learned(texts: list[np.ndarray], most: int) -> np.ndarray:
+        """Whole texts, in order, as long as they fit; of a language that has only longer ones, what fits of the first."""
+        held, size = [np.zeros(1, np.int32)], 1
+        for x in texts:
+            if size + len(x) <= most:
+                held.append(x)
+                size += len(x)
+        return np.concatenate(held) if len(held) > 1 or not texts else np.concatenate([held[0], texts[0][: most - 1]])
+
+    def costs(self, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Normalised phrases per symbol, by text and language; 0 for texts without symbols."""
+        return counts * np.array(self.units)[None, :] / np.maximum(sizes, 1)[:, None]
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases needed, by text and language, and symbols of each text."""
@@ -154,33 +174,44 @@ def model(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
     return Model(samples)
 
 
-def sample(docs: DataFrame, usable: Column) -> tuple[tuple[str, tuple[str, ...]], ...]:
-    """A bounded training sample, the same on every run: (language, texts) by language.
+def sample(docs: DataFrame, usable: Column, texts: int = SAMPLE_TEXTS, length: int = SAMPLE_LENGTH) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """A bounded training sample of whole texts, the same on every run: (language, texts) by language.
 
-    Of each language the SAMPLE_DOCUMENTS different texts with the least hash,
-    among documents that are usable and have a label and letters. Only
-    DOCUMENT_SYMBOLS characters of each come to the driver. Hashes are made
-    distinct before they are ranked, so copies neither fill the sample nor one task.
+    Of each language `texts` different texts with the least hash, among documents
+    that are usable and have a label and letters; those of up to length characters
+    come first, then those of up to twice that, and so on. Different texts are
+    counted first, by sketches of a fixed size; a share of hashes that holds twice
+    the wanted number is read then, so neither a frequent language nor a text with
+    many copies fills a task. Null texts and labels are passed over; an empty table
+    gives no languages.
     """
-    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    hashes = rows.select("lang", F.xxhash64("text").alias("hash")).distinct()
-    first = Window.partitionBy("lang").orderBy("hash")
-    chosen = hashes.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= SAMPLE_DOCUMENTS)
-    head = F.substring("text", 1, DOCUMENT_SYMBOLS)
-    heads = rows.select("lang", F.xxhash64("text").alias("hash"), head.alias("text"))
-    heads = heads.join(F.broadcast(chosen.drop("turn")), ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text"))
-    found: dict[str, list[tuple[int, str]]] = {}
-    for row in heads.collect():
-        found.setdefault(row.lang, []).append((row.hash, row.text))
-    return tuple((lang, tuple(x for _, x in sorted(found[lang]))) for lang in sorted(found))
+    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("hash"), F.ceil(F.log2(F.greatest(F.length("text") / length, F.lit(1.0)))).cast("int").alias("rank"))
+    wanted: dict[str, int] = {}
+    shares = []
+    for r in sorted(rows.groupBy("lang", "rank").agg(F.approx_count_distinct("hash").alias("n")).collect()):
+        left = wanted.get(r.lang, texts)
+        wanted[r.lang] = left - r.n
+        if left > 0:
+            shares.append((r.lang, r["rank"], min(1.0, 2.0 * max(left, texts // 4) / max(1, r.n))))
+    if not shares:
+        return ()
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, rank int, share double")
+    place = F.shiftrightunsigned("hash", 11) / float(1 << 53)
+    chosen = rows.withColumn("lang", F.col("lang").cast("string")).join(F.broadcast(shares), ["lang", "rank"]).filter(place < F.col("share"))
+    found: dict[str, list[tuple[int, int, str]]] = {}
+    for r in chosen.groupBy("lang", "rank", "hash").agg(F.min("text").alias("text")).collect():
+        found.setdefault(r.lang, []).append((r["rank"], r.hash % (1 << 64), r.text))
+    return tuple((lang, tuple(x for *_, x in sorted(found[lang])[:texts])) for lang in sorted(found))
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, tuple[str, ...]], ...]) -> DataFrame:
     """Adds lang_pred (string), score (double) and phrase_rate (double) to docs by its column text.
 
-    lang_pred is the language with the fewest phrases per symbol, the first by
-    name on a tie. score is 1 - (its phrases) / (those of the runner-up); with one
-    language 1. phrase_rate is phrases per symbol of the winner. Null texts and
+    lang_pred is the language with the fewest normalised phrases, the first by name
+    on a tie. score is 1 - (its phrases) / (those of the runner-up); with one
+    language 1. phrase_rate is normalised phrases per symbol of the winner, in
+    bits. Marks without a letter are no letters. Null texts and
     texts without letters, or no samples at all: 'und', 0.0 and null. Columns of
     docs with one of the three names are replaced.
     """
@@ -191,16 +222,17 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, tuple[str, ...]], ...])
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, sizes = model(samples).phrases(batch.column(at).to_pylist()) if samples else (None, None)
+            costs = model(samples).costs(counts, sizes) if samples else None
             lang, score, rate = [], [], []
             for i in range(batch.num_rows):
                 if sizes is None or not sizes[i]:
                     lang.append(UNKNOWN), score.append(0.0), rate.append(None)
                     continue
-                order = np.argsort(counts[i], kind="stable")
-                best, second = counts[i][order[0]], counts[i][order[min(1, len(order) - 1)]]
+                order = np.argsort(costs[i], kind="stable")
+                best, second = costs[i][order[0]], costs[i][order[min(1, len(order) - 1)]]
                 lang.append(model(samples).languages[order[0]])
                 score.append(1.0 - best / second if len(order) > 1 else 1.0)
-                rate.append(best / sizes[i])
+                rate.append(best)
             arrays = [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, "lang_pred", "score", "phrase_rate"])
 
@@ -209,16 +241,46 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, tuple[str, ...]], ...])
     return docs.mapInArrow(predict, schema)
 
 
-#: More phrases per symbol than this fit no language that was learned: half of what shuffled letters need.
-MOST_RATE = 0.6
+#: Of the held-back texts' costs, the share that lies under the fit; what chance adds to the cost of a text of one symbol.
+FIT_SHARE, CHANCE = 0.95, 6.0
+#: Every so-many-th text of the sample is held back to find the bound.
+HELD_BACK = 4
 
 
-def keep_identified(docs: DataFrame, samples, most_rate: float = MOST_RATE) -> DataFrame:
-    """The rows of docs that have a language, unchanged: not 'und', and at most most_rate phrases per symbol.
+def cost_bound(samples, seed: int = 5) -> float:
+    """Normalised phrases per symbol midway between labelled text that wasn't learned and the same text with its letters shuffled.
 
-    A text of under 20 symbols is kept if it has letters, since a rate says
-    nothing there.
+    Infinite where a language has too few texts to hold one back.
     """
-    found = identify(docs, samples)
-    short = F.length("text") < 20
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (short | (F.col("phrase_rate") <= most_rate))).select(*docs.columns)
+    rest = tuple((lang, tuple(t for k, t in enumerate(texts) if k % HELD_BACK or len(texts) < HELD_BACK)) for lang, texts in samples)
+    held = [t for _, texts in samples if len(texts) >= HELD_BACK for t in texts[::HELD_BACK]]
+    if not held:
+        return float("inf")
+    draw = np.random.default_rng(seed)
+    shuffled = ["".join(draw.permutation(list(t))) for t in held]
+    fitted = Model(rest)
+    own, random = ((fitted.costs(*found).min(axis=1), found[1]) for found in (fitted.phrases(held), fitted.phrases(shuffled)))
+    #: What short texts add by chance is taken off before the two are compared.
+    natural = np.quantile(own[0] - CHANCE / np.sqrt(np.maximum(own[1], 1)), FIT_SHARE)
+    return float(max(natural, (natural + np.median(random[0])) / 2))
+
+
+def keep_identified(docs: DataFrame, samples, bound: float | None = None) -> DataFrame:
+    """The rows of docs that have a language, unchanged: not 'und', and of a cost under the bound.
+
+    bound: normalised phrases per symbol, cost_bound of the samples by default. A text of n
+    symbols may have CHANCE / sqrt(n) more, as chance weighs more the shorter it
+    is; very short ones therefore stay if they have a letter. Null and empty texts
+    go. Extra columns stay, whatever their names.
+    """
+    bound = cost_bound(samples) if bound is None else bound
+    kept, at, sampled = docs.columns, docs.columns.index("text"), tuple(samples)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, sizes = model(sampled).phrases(batch.column(at).to_pylist())
+            costs = model(sampled).costs(counts, sizes).min(axis=1)
+            stays = (sizes > 0) & (costs <= bound + CHANCE / np.sqrt(np.maximum(sizes, 1)))
+            yield batch.filter(pa.array(stays)).select(kept)
+
+    return docs.mapInArrow(judge, docs.schema) if sampled else docs.limit(0)

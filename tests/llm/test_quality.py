@@ -52,3 +52,31 @@ def test_odd_rows(spark):
     assert Q.fit([]).score("x") == 0.5 and Q.fit([("a", 1)]).score("x") > 0.9 and Q.fit([("a", 0)]).score("") < 0.1
     labels = spark.createDataFrame([(2, 1), (2, 0), (None, 1), (1, 5), (1, None)], "doc_id long, quality int")
     assert Q.sample(docs, labels, F.lit(True)) == [("", 0), ("", 0)]
+
+
+def test_ranking_matches_all_pairs():
+    rng = np.random.default_rng(3)
+    margins, labels = rng.integers(0, 9, 60).astype(float), rng.integers(0, 2, 60).astype(float)
+    pairs = [(a > b) + 0.5 * (a == b) for a in margins[labels > 0] for b in margins[labels == 0]]
+    assert abs(Q.ranking(margins, labels) - np.mean(pairs)) < 1e-12
+
+
+def test_columns_are_chosen_on_training_folds():
+    """Texts that differ by recurring words only need the patterns; with telling letters they are left out."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(60)]
+    texts = [" ".join(np.repeat(rng.choice(words, 20), 2) if k % 2 else rng.permutation(np.repeat(rng.choice(words, 20, replace=False), 2))) for k in range(120)]
+    assert Q.fit([(t, k % 2) for k, t in enumerate(texts)]).recurrence
+    assert not Q.fit([(f"{'x' if k % 2 else 'q'} {t}", k % 2) for k, t in enumerate(texts[::2] + texts[::2])]).recurrence
+
+
+def test_scores_match_a_slow_fit(spark):
+    """classify against the definition: scaled indicators, the fitted weights, the logistic curve."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).collect()
+    model = Q.fit([(r.text or "", int(r.doc_id) % 2) for r in rows[:40]])
+    got = {r.doc_id: r for r in Q.classify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for r in rows:
+        own = sorted(set(Q.columns(r.text, model.recurrence).tolist()))
+        margin = model.bias + (Q.SCALE * sum(model.weights[c] for c in own) / len(own) if own else 0.0)
+        score = 1 / (1 + np.exp(-(model.slope * margin + model.shift)))
+        assert abs(got[r.doc_id].score - score) < 1e-9 and got[r.doc_id].predicted == int(score >= 0.5)
