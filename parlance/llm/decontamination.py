@@ -277,13 +277,14 @@ def _consistent(hits: list[tuple[int, int]], n: int, wanted: list[int], values:
     return best
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """Items with a text, in blocks; the number of blocks comes from the size of the benchmark."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """Items with a text, block by block; the number of blocks comes from the size of the benchmark, and the driver holds one at a time."""
     items = benchmark.filter("item_id is not null and text is not null").select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(size) // block_bytes))
     part = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [sorted((r.item_id, r.text) for r in part.filter(F.col("part") == k).collect()) for k in range(n)]
+    for k in range(n):
+        yield sorted((r.item_id, r.text) for r in part.filter(F.col("part") == k).collect())
 
 
 def _over(docs: DataFrame, items: list[tuple[int, str]], rows: Callable, schema) -> DataFrame:

@@ -28,9 +28,9 @@ BUCKET_ROWS = 4096
 BROADCAST_SOURCES = 100_000
 
 
-def uniform(key: Column, seed: str) -> Column:
-    """A double in (0, 1) from 52 bits of the MD5 of seed and key (null: as '')."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+def uniform(seed: str, *keys: Column) -> Column:
+    """A double in (0, 1) from 52 bits of the MD5 of seed and keys (null: as '')."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *(F.coalesce(k.cast("string"), F.lit("")) for k in keys)))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
@@ -69,6 +69,7 @@ def mix_sources(
     weights=SOURCE_WEIGHTS,
     share: float = SHARE,
     most: float = MOST_EPOCHS,
+    tie: Column | None = None,
     seed: str = "mix-1",
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
@@ -77,21 +78,24 @@ def mix_sources(
     size: tokens of a document; by default the words of its column text.
     weight: quality weight of a document, above 0; null or not above 0 counts as 1.
     taken = size * (epochs + 1 if sampled). Null or empty text: size 0, taken 0.
-    A null source is a source of its own, the last. Ties of keys are broken by id
-    and size; rows equal in all of these are interchangeable, and of such rows on
-    the border of the budget all go the same way as the first of them. An empty table gives an empty result. Other columns of docs are
-    not looked at, whatever their names.
+    tie: what tells rows of one id apart, the MD5 of the text by default.
+    A null source is a source of its own, the last. Every row has a draw of its own:
+    rows of one id, null too, draw by their tie as well, and rows equal in that by
+    their number among such rows, whose order makes no difference. An empty table
+    gives an empty result. Other columns of docs are not looked at, whatever their
+    names.
     """
     weight = F.lit(1.0) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(1.0)
-    slim = checkpointed(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).isNull().alias("source_null"),
-            F.coalesce(F.col(source_col), F.lit("")).alias("source"),
-            (word_count(F.col("text")) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("size"),
-            weight.alias("w"),
-        ).withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("w"))
+    tie = F.md5("text") if tie is None else tie
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).isNull().alias("source_null"),
+        F.coalesce(F.col(source_col), F.lit("")).alias("source"),
+        (word_count(F.col("text")) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("size"),
+        weight.alias("w"),
+        F.coalesce(tie.cast("string"), F.lit("")).alias("tie"),
     )
+    slim = checkpointed(_numbered(checkpointed(rows)).withColumn("key", -F.log(uniform(seed, F.col("doc_id"), F.col("tie"), F.col("number"))) / F.col("w")))
     name = ["source_null", "source"]
     sources = slim.groupBy(*name).agg(
         F.sum("size").alias("source_size"), F.count("*").alias("n"), F.min("w").alias("least_w"), F.max("w").alias("most_w")
@@ -121,7 +125,7 @@ def mix_sources(
         .select(*name, F.col("border.bucket").alias("border_bucket"), F.col("border.before").alias("before"))
     )
     border = checkpointed(border)
-    order = ["key", "doc_id", "size"]
+    order = ["key", "doc_id", "tie", "number", "size"]
     inside = Window.partitionBy(*name).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     last = (
         placed.join(per_source(border), name)
@@ -152,15 +156,37 @@ def mix_sources(
     )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with number, which counts those equal in all columns, from 0.
+
+    Equal rows become one with a count, by partial counts before the shuffle, and
+    then rows again, in blocks of a bounded size that are dealt over tasks.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BUCKET_ROWS))))
+    if not counted.filter(F.col("n") > BUCKET_ROWS).isEmpty():
+        blocks = blocks.repartition(*rows.columns, "block")
+    first, last = F.col("block") * BUCKET_ROWS, F.least("n", (F.col("block") + 1) * BUCKET_ROWS) - 1
+    return blocks.withColumn("number", F.explode(F.sequence(first, last))).drop("n", "block")
+
+
 #: Weight of a document by its quality label; 1 without one.
 QUALITY_WEIGHTS = {1: 2.0, 0: 0.5}
+#: Rows without an id are joined as if they had one of so many keys.
+NULL_KEYS = 1024
 
 
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs and a column quality_weight from labels; of several labels of a document the best counts."""
+    """(doc_id, source, _size, _tie, quality_weight) of docs; of several labels of a document the best counts.
+
+    _size counts the words of the text, _tie is its MD5. Rows without an id have no
+    label, weigh 1 and are dealt over tasks.
+    """
     best = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     weight = F.lit(1.0)
     for quality, value in QUALITY_WEIGHTS.items():
         weight = F.when(F.col("_quality") == quality, value).otherwise(weight)
-    slim = docs.select("doc_id", "text", "source").withColumn("_size", word_count(F.col("text"))).drop("text")
-    return slim.join(best, "doc_id", "left").withColumn("quality_weight", weight).drop("_quality")
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("_size"), F.md5("text").alias("_tie"))
+    dealt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("_tie"), F.lit(NULL_KEYS))).otherwise(F.lit(0))
+    joined = slim.withColumn("_dealt", dealt).join(best.withColumn("_dealt", F.lit(0).cast("long")), ["doc_id", "_dealt"], "left")
+    return joined.withColumn("quality_weight", weight).drop("_quality", "_dealt")

@@ -14,7 +14,7 @@ from .sql import ORACLES  # noqa: F401
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    mixed = mixing.mix_sources(docs, size=F.col("_size"), weight=F.col("quality_weight"))
+    mixed = mixing.mix_sources(docs, size=F.col("_size"), weight=F.col("quality_weight"), tie=F.col("_tie"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import checkpointed, fresh
 from .components import connected_components
 
 SHINGLE = 3
@@ -128,14 +128,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     )
     steps = [d for d in product(range(-radius, radius + 1), repeat=QUARTERS) if sum(map(abs, d)) <= radius and d >= (0,) * QUARTERS]
     step = F.explode(F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(d, counts))) for d in steps)))
-    sent = tiles.select(F.col("part").alias("part_b"), F.col("tile").alias("b"), *counts, step.alias("step")).select(
-        "part_b",
-        "b",
+    #: A tile goes to each tile of a neighbouring combination by that tile's own key, so a combination with many tiles is many keys.
+    sent = tiles.select("part", F.col("tile").alias("a"), *counts, step.alias("step")).select(
+        "part",
+        "a",
         *((F.col(c) + F.col(f"step.{c}")).alias(c) for c in counts),
         F.forall(F.array(*(F.col(f"step.{c}") == 0 for c in counts)), lambda x: x).alias("home"),
     )
-    pairs = tiles.join(sent, counts).filter("not home or part <= part_b")
-    pairs = pairs.select(F.col("tile").alias("a"), "b", (F.col("home") & (F.col("part") == F.col("part_b"))).alias("same"), F.lit(radius).alias("radius"))
+    sent = sent.join(F.broadcast(parts), counts).withColumn("part_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = sent.filter("not home or part <= part_b").withColumn("same", F.col("home") & (F.col("part") == F.col("part_b")))
+    pairs = sent.select("a", "same", *counts, "part_b").join(tiles.withColumnRenamed("part", "part_b"), [*counts, "part_b"])
+    pairs = pairs.select("a", F.col("tile").alias("b"), "same", F.lit(radius).alias("radius"))
     return pairs.mapInArrow(_compare, "a long, b long")
 
 
@@ -160,15 +163,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     return found.join(checkpointed(groups), "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def _with_fingerprints(docs: DataFrame) -> DataFrame:
-    at, names = docs.columns.index("text"), [*docs.columns, "_fp"]
+def _with_fingerprints(docs: DataFrame, name: str) -> DataFrame:
+    at, names = docs.columns.index("text"), [*docs.columns, name]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py()) for x in batch.column(at).cast(pa.binary())], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names)
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -177,12 +180,13 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Where ids are null or repeated, the fingerprint decides between rows of one
     id, and of rows equal in both any one stays.
     """
+    own, kept, fp = (fresh(c, docs) for c in ("_own", "_kept", "_fp"))
     found = checkpointed(near_duplicates(docs, radius))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp")).alias("first"))
-    first = checkpointed(first.select(F.col("first.doc_id").alias("_id"), F.col("first.fp").alias("_kept")))
+    first = checkpointed(first.select(F.col("first.doc_id").alias(own), F.col("first.fp").alias(kept)))
     unclear = found.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if unclear.isEmpty():
-        return docs.join(first, F.col("doc_id") == F.col("_id"), "left_semi")
-    marked = _with_fingerprints(docs)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept"))
-    return marked.join(first, same, "left_semi").dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
+        return docs.join(first, F.col("doc_id") == F.col(own), "left_semi")
+    marked = _with_fingerprints(docs, fp)
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(fp) == F.col(kept))
+    return marked.join(first, same, "left_semi").dropDuplicates(["doc_id", fp]).select(*docs.columns)

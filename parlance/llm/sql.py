@@ -4,13 +4,15 @@ ORACLES: dict[str, str] = {}
 
 ORACLES["op1_mix_sources"] = r"""
 WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
-slim AS (
-  SELECT d.doc_id, d.source,
-         coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         -ln((('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5)
-             / 4503599627370496.0)
-           / (CASE q.quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END)::DOUBLE AS key
+named AS (
+  SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         (CASE q.quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END)::DOUBLE AS w, coalesce(md5(d.text), '') AS tie
   FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, w, tie) - 1 AS number FROM named),
+slim AS (
+  SELECT *, -ln((('0x' || substr(md5(concat_ws(':', 'mix-1', coalesce(doc_id::VARCHAR, ''), tie, number::VARCHAR)), 1, 13))::BIGINT::DOUBLE + 0.5)
+               / 4503599627370496.0) / w AS key
+  FROM numbered),
 sized AS (SELECT source, sum(size)::BIGINT AS source_size FROM slim GROUP BY source),
 weighed AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
@@ -30,7 +32,7 @@ split AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM goals),
 sampled AS (
   SELECT s.doc_id, s.size, g.source_size, g.target, g.epochs,
-         2 * coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size
+         2 * coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.tie, s.number, s.size
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + s.size
            <= 2 * (g.target - g.epochs * g.source_size) AS extra
   FROM slim s JOIN split g ON s.source IS NOT DISTINCT FROM g.source)

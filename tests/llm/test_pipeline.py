@@ -1,17 +1,42 @@
 """The pipeline against a plain composition of slow versions of its stages."""
 
+import math
 import sys
+from functools import lru_cache
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 
 import corpus_pipeline
+import numpy as np
+from test_language import phrases
 from test_line_dedup import brute as slow_dedup
 from test_mixing import brute as slow_mix
 from test_simhash import slow_fingerprint
 
 from parlance.llm import decontamination, language
 
+def slow_cost(text, model, samples):
+    """Least normalised phrases per symbol by plain searches in the learned text, less what chance adds."""
+    show = lambda codes: "".join(map(chr, (model.index[codes] + 32).tolist()))
+    own = show(language.spelled(text)) if text else ""
+    if not own:
+        return math.inf
+    learned = [" " + show(np.concatenate([language.spelled(t) for t in fitting(texts)])) for _, texts in samples]
+    least = min(phrases(own, known) * math.log2(len(known) + 2) for known in learned)
+    return least / len(own) - language.CHANCE / math.sqrt(len(own))
+
+
+@lru_cache
+def fitting(texts):
+    held, size = [], 1
+    for t in texts:
+        if size + len(language.spelled(t)) <= language.SAMPLE_SYMBOLS:
+            held.append(t)
+            size += len(language.spelled(t))
+    return held
+
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -26,9 +51,9 @@ def test_stages_and_result(spark):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert now.columns == docs.columns
             now = spark.createDataFrame(seen[-1][2], docs.schema)
-    model = language.Model(language.sample(docs, corpus_pipeline.F.lit(True)))
-    counts, sizes = model.phrases([r.text for r in rows.values()])
-    good = {d for d, c, n in zip(rows, counts, sizes) if n and (n and len(rows[d].text) < 20 or c.min() / n <= language.MOST_RATE)}
+    samples = language.sample(docs, corpus_pipeline.F.lit(True))
+    model, bound = language.Model(samples), language.cost_bound(samples)
+    good = {d for d, r in rows.items() if slow_cost(r.text, model, samples) <= bound}
     assert {r.doc_id for r in seen[0][2]} == good
     texts = {int(d): t for d, t, gone in slow_dedup([(d, rows[d].text) for d in good]) if t or not gone}
     assert {r.doc_id: r.text for r in seen[1][2]} == texts
