@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines stay in their first document; documents of which nothing is left go."""
+    """Repeated passages of lines stay in their first document; documents of which nothing is left go."""
     found = line_dedup.dedup_lines(docs).filter("removed_lines = 0 or text <> ''")
     size = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", size).select(*docs.columns)
@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes: doc_id, source, size, source_size, target, copies, taken."""
     weighed = mixing.with_quality(docs, table(spark, sf_dir, "labels"))
-    mixed = mixing.mix_sources(weighed, size=F.col("_size"), weight=F.col("quality_weight"))
+    mixed = mixing.mix_sources(weighed, size=F.col("_size"), weight=F.col("quality_weight"), tie=F.col("_tie"))
     copies = F.col("epochs") + F.col("sampled").cast("long")
     return mixed.withColumn("copies", copies).filter("copies > 0").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
