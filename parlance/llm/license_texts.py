@@ -18,6 +18,22 @@ _BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTO
 _GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
 
+_LESSER = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""
+
+_AFFERO = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""
+
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"""
+
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+
+_ECLIPSE = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"""
+
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
@@ -25,33 +41,70 @@ _MPL = """This Source Code Form is subject to the terms of the Mozilla Public Li
 
 _UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
 
+#: Names of licenses in notices, by identifier. Words in them that only say that it is a license are GENERIC.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "MIT"),
+    "ISC": ("ISC License", "ISC"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "BSD-3-Clause"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0", "Apache-2.0"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU GPL v2", "GPLv2", "GPL-2.0"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU GPL v3", "GPLv3", "GPL-3.0"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1", "LGPL-2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPL-3.0"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPL-3.0"),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL-2.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License, Version 2.0", "EPL-2.0"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0"),
+    "Zlib": ("zlib License", "zlib"),
+    "Unlicense": ("Unlicense",),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero 1.0", "CC0-1.0"),
+}
+#: The terms of Creative Commons licenses by their signs.
+_TERMS = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+for _signs in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+    _words = "-".join(_TERMS[x] for x in _signs.split("-"))
+    for _version in ("3.0", "4.0"):
+        NAMES[f"CC-{_signs}-{_version}"] = (f"CC {_signs} {_version}", f"CC-{_signs}-{_version}", f"Creative Commons {_words} {_version}", f"Creative Commons {_words} {_version} International License")
+GENERIC = "license licence public general software version v international universal clause creative commons cc gnu".split()
+#: How notices speak of a license. A name in full stands for itself.
+NOTICES = (
+    "licensed under {}", "licensed under the {}", "released under the {}", "released under {}", "distributed under the {}", "available under the {}", "available under the terms of the {}",
+    "published under the {}", "covered by the {}", "subject to the terms of the {}", "license: {}", "SPDX-License-Identifier: {}", "SPDX-License-Identifier: {}-or-later", "SPDX-License-Identifier: {}-only",
+)
+#: Words from which on a name needs no notice around it.
+FULL_NAME = 4
+
 TEMPLATES: dict[str, str] = {
     "MIT/text": _MIT,
     "ISC/text": _ISC,
     "BSD-2-Clause/text": _BSD_HEAD + _BSD_TAIL,
     "BSD-3-Clause/text": _BSD_HEAD + _BSD_THIRD + _BSD_TAIL,
+    "BSL-1.0/text": _BOOST,
+    "Zlib/text": _ZLIB,
     "GPL-2.0/header": _GPL.format(2),
     "GPL-3.0/header": _GPL.format(3),
+    "LGPL-2.1/header": _LESSER.format("2.1"),
+    "LGPL-3.0/header": _LESSER.format(3),
+    "AGPL-3.0/header": _AFFERO,
+    "EPL-2.0/header": _ECLIPSE,
     "Apache-2.0/header": _APACHE,
     "MPL-2.0/header": _MPL,
     "Unlicense/text": _UNLICENSE,
-    "MIT/notice": "Released under the MIT License.",
-    "Apache-2.0/notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-2.0/notice": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0/notice": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-2.1/notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
-    "LGPL-3.0/notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0/notice": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "BSD-3-Clause/notice": "Released under the BSD 3-Clause License.",
-    "CC-BY-4.0/notice": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0/notice": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0/notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-ND-4.0/notice": "Licensed under CC BY-ND 4.0.",
-    "CC-BY-NC-SA-4.0/notice": "Licensed under CC BY-NC-SA 4.0.",
-    "CC-BY-NC-ND-4.0/notice": "Licensed under CC BY-NC-ND 4.0.",
-    "CC0-1.0/notice": "Released under CC0 1.0 into the public domain.",
+    "CC0-1.0/dedication": "Released under CC0 1.0 into the public domain.",
     "proprietary/notice": "All rights reserved.",
 }
 
+
+def notices() -> dict[str, list[tuple[str, str]]]:
+    """(text, name in it) of every notice, by identifier and form."""
+    out: dict[str, list[tuple[str, str]]] = {}
+    for identifier, names in NAMES.items():
+        for name in names:
+            forms = list(NOTICES) + ["{}"] * (len(name.replace("-", " ").split()) >= FULL_NAME)
+            out.setdefault(f"{identifier}/notice", []).extend((form.format(name), name) for form in forms)
+    return out
+
+
 #: Words that tell no license from ordinary prose.
-COMMON = "the of and to in is that it for on with as be by at this from are or an not any all a you may can under work will its if was into so do whom no".split()
+COMMON = "the of and to in is that it for on with as be by at this from are or an not any all a you may can under work will its if was into so do whom no free use used available under".split()

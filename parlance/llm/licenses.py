@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .decontamination import ROUND, canonical
-from .license_texts import COMMON, TEMPLATES
+from .license_texts import COMMON, GENERIC, TEMPLATES, notices
 
-#: Share of a template's words that must be covered; a span may be longer than the template by a half, or four words.
-COVERAGE = 0.8
+#: Share of a template's words that must be covered; a span may be longer than the template by a half, or four words, that of a notice by one.
+COVERAGE, NOTICE_GAP = 0.8, 1
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -73,24 +73,33 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 class Scanner:
     """Templates as word hashes."""
 
-    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
-        common = set(canonical(list(COMMON)).value.tolist())
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE, notices: dict[str, list[tuple[str, str]]] | None = None):
+        self.common = set(canonical(list(COMMON)).value.tolist())
+        self.generic = set(canonical(list(GENERIC)).value.tolist())
         self.templates, self.telling = [], {}
         for name, text in templates.items():
             words = canonical([text])
             values = words.value.tolist()
             numbers = {v for v, digit in zip(values, words.is_number.tolist()) if digit}
-            telling = [k for k, v in enumerate(values) if v not in common]
-            if not telling:
-                raise ValueError(f"{name} has no word of its own")
-            allowed = int((1 - coverage) * len(values) + 1e-9)
-            span = len(values) + max(4, len(values) // 2)
-            at = len(self.templates)
-            self.templates.append((name, values, numbers, telling[0], max(1, len(telling) - allowed), allowed, span))
-            for k in telling:
-                self.telling.setdefault(values[k], set()).add(at)
+            self._add(name, values, numbers, coverage, max(4, len(values) // 2))
+        for name, forms in (notices or {}).items():
+            for text, called in forms:
+                own = set(canonical([called]).value.tolist())
+                self._add(name, canonical([text]).value.tolist(), (own - self.generic) or own, coverage, NOTICE_GAP)
         self.hashes = np.array(sorted(self.telling), np.uint64)
 
+    def _add(self, name: str, values: list[int], needed: set[int], coverage: float, gap: int) -> None:
+        """A template by its words, those of them that must be covered whatever the share, and the words by which a span may be longer."""
+        telling = {k for k, v in enumerate(values) if v not in self.common}
+        if not telling:
+            raise ValueError(f"{name} has no word of its own")
+        allowed = int((1 - coverage) * len(values) + 1e-9)
+        lead = {values[k]: k for k in sorted(telling)}
+        at = len(self.templates)
+        self.templates.append((name, values, needed, lead, max(1, len(telling) - allowed), allowed, len(values) + gap))
+        for v in lead:
+            self.telling.setdefault(v, set()).add(at)
+
     def scan(self, texts: list[str | None]) -> list[list[tuple[str, int, int, int, int]]]:
         """For each text its licenses: (template, its words, words covered, first character, character after the last)."""
         out: list[list] = [[] for _ in texts]
@@ -105,6 +114,8 @@ class Scanner:
         return out
 
     def _scan(self, owners: list[int], texts: list[str], out: list[list]) -> None:
+        if not len(self.hashes):
+            return
         words = canonical(texts)
         near = np.searchsorted(self.hashes, words.value)
         hits = np.nonzero(self.hashes[np.minimum(near, len(self.hashes) - 1)] == words.value)[0]
@@ -129,14 +140,18 @@ class Scanner:
             out[owners[at]].sort(key=lambda x: (x[3], x[0]))
 
     def _spans(self, t: int, places: list[int], values: np.ndarray) -> Iterator[tuple[str, int, int, int, int]]:
-        name, wanted, numbers, lead, need, allowed, span = self.templates[t]
+        name, wanted, needed, lead, need, allowed, span = self.templates[t]
+        #: Without these words nothing needs an alignment.
+        if not (needed - self.common) <= {int(values[k]) for k in places}:
+            return
         after, k = 0, 0
         while k + need <= len(places):
             first = places[k]
             if first < after or places[k + need - 1] - first >= span:
                 k += 1
                 continue
-            low, high = max(after, first - lead - allowed), min(len(values), first - lead + span)
+            start = first - lead[int(values[first])]
+            low, high = max(after, start - allowed), min(len(values), start + span)
             pairs = patience(wanted, values[low:high].tolist())
             if pairs and len(pairs) + allowed >= len(wanted):
                 # The first word may have been another's: align again from where the template would start.
@@ -144,7 +159,7 @@ class Scanner:
                 again = patience(wanted, values[at : at + span + allowed].tolist())
                 if len(again) > len(pairs):
                     low, pairs = at, again
-            if len(pairs) + allowed >= len(wanted) and numbers <= {wanted[i] for i, _ in pairs}:
+            if len(pairs) + allowed >= len(wanted) and needed <= {wanted[i] for i, _ in pairs} and pairs[-1][1] - pairs[0][1] < len(pairs) + span - len(wanted):
                 last = low + pairs[-1][1]
                 yield name, len(wanted), len(pairs), low + pairs[0][1], last
                 after = last + 1
@@ -152,8 +167,8 @@ class Scanner:
 
 
 @lru_cache(4)
-def _scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
-    return Scanner(dict(templates))
+def _scanner(templates: tuple[tuple[str, str], ...] | None) -> Scanner:
+    return Scanner(TEMPLATES, notices=notices()) if templates is None else Scanner(dict(templates))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -162,10 +177,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     start and end are character positions in the text. Only documents with a
     license have rows; one that holds several, or one several times, has a row for
     each, and of overlapping spans the one that covers most words. The numbers of a
-    template, such as its version, must be covered. Null and empty texts have none;
+    template, such as its version, must be covered, and the telling words of a name
+    in a notice. templates: texts by identifier/form; by default the built-in texts
+    and notices, and no templates find nothing. Null and empty texts have none;
     a repeated document has rows for each of its rows. Other columns are left out.
     """
-    fixed = tuple((templates or TEMPLATES).items())
+    fixed = None if templates is None else tuple(templates.items())
     schema = T.StructType(
         [docs.schema["doc_id"], T.StructField("license", T.StringType()), T.StructField("form", T.StringType())]
         + [T.StructField(c, T.LongType()) for c in ("words", "covered")]

@@ -2,9 +2,10 @@
 
 The same entity has the same surrogate in every document (coreference), different
 ones have different surrogates (checked over the whole corpus, with another draw
-on a collision), and no surrogate is an entity of the corpus. Digits stay digits,
+on a collision), and no surrogate is an entity of the corpus; only given names of
+the lists are turned among themselves, so that they stay names of their gender. Digits stay digits,
 letters letters of the same case, names keep their script and gender, cards pass
-the Luhn check. All of it is DataFrame functions; only entities are shuffled, and
+the Luhn check and IBANs theirs, private addresses stay private. All of it is DataFrame functions; only entities are shuffled, and
 the texts of documents that hold any.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, fresh
 
 #: Given names by script and gender; each is replaced by another of its list.
 GIVEN = {
@@ -54,7 +55,7 @@ IBAN_LENGTHS = {
 }
 
 
-def _iban(length: int, countries: str) -> str:
+def _iban_pattern(length: int, countries: str) -> str:
     groups, rest = divmod(length - 4, 4)
     return any_of(countries.split()) + rf"\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
 
@@ -62,28 +63,40 @@ def _iban(length: int, countries: str) -> str:
 #: An IBAN of its country's length; or of any code and length, in groups that hold a digit but for the first. Eight digits keep words in capitals out.
 _IBAN = (
     r"(?=[A-Z]{2}\d{2}(?: ?[A-Z]{0,12} ?\d){6})(?:(?:"
-    + "|".join(_iban(*x) for x in IBAN_LENGTHS.items())
+    + "|".join(_iban_pattern(*x) for x in IBAN_LENGTHS.items())
     + r")(?![0-9A-Za-z])|[A-Z]{2}\d{2} ?[A-Z0-9]{4}(?:[A-Z0-9]{4}| (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){2,6}(?: \d{1,3}|[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"
 )
 _NAMES = [x for names in GIVEN.values() for n in names for x in (n, n.upper())]
 _NAME, _TITLE = any_of(_NAMES), any_of(TITLES)
-_SURNAME = r"\p{Lu}[\p{L}’]+(?:-\p{Lu}[\p{L}’]+)?"
+_SURNAME = r"\p{Lu}(?:\p{L}{0,3}['’])?\p{L}+(?:['’]\p{L}{2,})?(?:-\p{Lu}(?:\p{L}{0,3}['’])?\p{L}+)*"
+#: A given name of the lists, alone or joined by hyphens to others; one or two such, or an initial beside it.
+_GIVEN = rf"{_NAME}(?:-\p{{Lu}}\p{{L}}+)*(?: {_NAME}(?:-\p{{Lu}}\p{{L}}+)*| \p{{Lu}}\.)?"
+_PARTICLES = rf"(?: (?:{'|'.join(PARTICLES)}))*"
+#: Words after which a name of unlisted words stands.
+_SAYS_NAME = r"(?<=(?:[Nn]ame is|Name:|Author:|Contact:|Attn:|Signed:|[Dd]ear|Sincerely,|[Rr]egards,|I am|I’m|I'm) )"
+#: Frequent surnames that are written as one Han character, and characters of given names.
+HAN_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗"
+HAN_GIVEN = "明伟芳娜敏静丽强磊军洋勇艳杰涛超华平刚玲"
 #: Kinds in the order in which a found string is told to be of one; each is a pattern for Java.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}(?![A-Za-z0-9-])",
     "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
     "key": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+)(?![0-9A-Za-z])",
     "secret": r"(?<=[\"'])(?<=(?:token|secret|password|api_key) ?[=:] ?[\"'])[^\"'\s]{8,}+(?=[\"'])",
     "iban": rf"(?<![0-9A-Za-z]){_IBAN}",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![0-9]|\.[0-9])",
+    "ip6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{3,4}:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.-])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.-])\d{3}[-. ]\d{3}[-. ]\d{4}(?![\w-])",
-    "person": rf"(?<!\p{{L}})(?:(?:{_TITLE} )?{_NAME}(?: {_NAME}| \p{{Lu}}\.)?(?: (?:{'|'.join(PARTICLES)}))* {_SURNAME}|{_TITLE} {_SURNAME})(?!\p{{L}})",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.-])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.-])\d{3}[-. ]\d{3}[-. ]\d{4}(?![\w-])"
+    r"|(?<![\w.+/-])0[1-9](?:[ .]\d{2}){4}(?![\w/])|(?<![\w.+/-])0[1-9]\d{1,3}[ /-]\d{5,8}(?![\w/-])",
+    "person": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{_TITLE} )?{_GIVEN}{_PARTICLES} {_SURNAME}|{_TITLE} (?:\p{{Lu}}\p{{L}}+ ){{0,2}}{_SURNAME}"
+    rf"|{_SAYS_NAME}{_SURNAME}(?: \p{{Lu}}\.)?{_PARTICLES} {_SURNAME}|{_SURNAME} {_SURNAME}(?= ?[<(][A-Za-z0-9._%+-]{{1,64}}@))(?!\p{{L}})",
+    "han": rf"(?<=我叫|我是|姓名：|姓名:)[{HAN_SURNAMES}]\p{{IsHan}}{{1,2}}(?!\p{{IsHan}})|[{HAN_SURNAMES}]\p{{IsHan}}{{1,2}}(?=先生|女士|小姐|老师)",
 }
 PATTERN = "|".join(KINDS.values())
-#: A text without a match of this holds no entity: a digit, an @, a quoted secret, a key's start, or a given name or title as a word.
-HINT = rf"[0-9@]|[=:] ?[\"']|(?<!\p{{L}})(?:{_NAME}|{_TITLE})[ -]|[a-fA-F]{{32}}|(?<![0-9A-Za-z])(?:AKIA|gh[pousr]_|sk-)"
+#: A text without a match of this holds no entity: a digit, an @, a quoted secret, a key's start, a given name or title as a word, or words that come with names.
+HINT = rf"[0-9@]|[=:] ?[\"']|(?<!\p{{L}})(?:{_NAME}|{_TITLE})[ -]|[a-fA-F]{{32}}|(?<![0-9A-Za-z])(?:AKIA|gh[pousr]_|sk-)|{_SAYS_NAME}\p{{Lu}}|我叫|我是|姓名|先生|女士|小姐|老师"
 #: Draws after which a surrogate gives up its form for a tag that is distinct by its hash.
 MOST_DRAWS = 8
 
@@ -107,6 +120,8 @@ def kind_of(value: Column) -> Column:
         "hex": r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$",
         "key": r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+)$",
         "iban": r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2}[A-Z0-9 ]*$",
+        "ip6": r"^[0-9A-Fa-f]{3,4}:[0-9A-Fa-f:]*:[0-9A-Fa-f]{1,4}$",
+        "han": r"^\p{IsHan}{2,3}$",
         "ip": r"^\d{1,3}(?:\.\d{1,3}){3}$",
         "ssn": r"^\d{3}-\d{2}-\d{4}$",
     }
@@ -115,8 +130,8 @@ def kind_of(value: Column) -> Column:
     for kind, shape in shapes.items():
         out = out.when(value.rlike(shape), kind)
     out = out.when(value.rlike(r"^\d[\d -]{11,}\d$") & (digits >= 13), F.when(_luhn(value) == 0, "card"))
-    out = out.when(value.rlike(r"^[+(]?\d[\d ().-]+\d$"), "phone")
-    return out.when(value.rlike(r"^[\p{L}.’\- ]+$") & value.contains(" "), "person").otherwise("secret")
+    out = out.when(value.rlike(r"^[+(]?\d[\d ()./-]+\d$"), "phone")
+    return out.when(value.rlike(r"^[\p{L}.'’\- ]+$") & value.contains(" "), "person").otherwise("secret")
 
 
 def _literal_map(pairs: dict[str, str]) -> Column:
@@ -143,7 +158,7 @@ def _formatted(value: Column, digest: Column, hexadecimal: bool = False) -> Colu
     def draw(c: Column, i: Column) -> Column:
         at = F.pmod((i + 1) * 7, F.lit(64)) + 1
         if hexadecimal:
-            return F.substr(digest, at, F.lit(1))
+            return F.when(c == ":", c).otherwise(F.substr(digest, at, F.lit(1)))
         letter = F.substr(letters, at, F.lit(1))
         return F.when(c.rlike("[0-9]"), F.substr(digits, at, F.lit(1))).when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), F.upper(letter)).otherwise(c)
 
@@ -152,6 +167,33 @@ def _formatted(value: Column, digest: Column, hexadecimal: bool = False) -> Colu
     return F.when(value.rlike("[A-F]"), F.upper(drawn)).otherwise(drawn) if hexadecimal else drawn
 
 
+def _iban(value: Column, plain: Column) -> Column:
+    """plain, with the country of value and the check digits that belong to it."""
+    body = F.substr(plain, F.lit(5))
+    moved = F.split(F.regexp_replace(F.concat(body, F.substring(value, 1, 2), F.lit("00")), " ", ""), "")
+
+    def step(acc: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (acc * 10 + c.cast("int")) % 97).when(c.rlike("[A-Z]"), (acc * 100 + F.ascii(c) - 55) % 97).otherwise(acc)
+
+    check = F.lpad((98 - F.aggregate(moved, F.lit(0), step)).cast("string"), 2, "0")
+    return F.concat(F.substring(value, 1, 2), check, body)
+
+
+def _ip(value: Column, digest: Column) -> Column:
+    """An address; those of private, local and loopback nets stay in theirs."""
+    kept = F.regexp_extract(value, r"^(?:10|127|192\.168|169\.254|172\.(?:1[6-9]|2\d|3[01]))\.", 0)
+    parts = [(_byte(digest, 0) % 100 + 11).cast("string"), *(_byte(digest, k).cast("string") for k in (1, 2, 3))]
+    dots = F.length(F.regexp_replace(kept, "[^.]", ""))
+    return F.concat(kept, F.array_join(F.slice(F.array(*parts), dots + 1, 4 - dots), "."))
+
+
+def _han(value: Column, digest: Column) -> Column:
+    surnames, given = (F.array(*map(F.lit, x)) for x in (HAN_SURNAMES, HAN_GIVEN))
+    first = F.element_at(surnames, _byte(digest, 0) % len(HAN_SURNAMES) + 1)
+    second, third = (F.element_at(given, _byte(digest, k) % len(HAN_GIVEN) + 1) for k in (1, 2))
+    return F.concat(first, second, F.when(F.length(value) > 2, third).otherwise(""))
+
+
 def _byte(digest: Column, k: int) -> Column:
     return F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("int")
 
@@ -188,15 +230,16 @@ def surrogate(kind: Column, value: Column, digest: Column) -> Column:
     rest = lambda head: F.concat(head, F.substr(plain, F.length(head) + 1))
     card = F.concat(F.substring(value, 1, 1), F.substr(plain, F.lit(2), F.length(value) - 2))
     card = F.concat(card, ((10 - _luhn(F.concat(card, F.lit("0")))) % 10).cast("string"))
-    ip = F.concat_ws(".", (_byte(digest, 0) % 223 + 1).cast("string"), *(_byte(digest, k).cast("string") for k in (1, 2, 3)))
     return (
         F.when(kind == "email", email)
         .when(kind == "hex", _formatted(value, digest, hexadecimal=True))
         .when(kind == "key", rest(F.regexp_extract(value, "^(?:AKIA|gh[pousr]_|sk-)", 0)))
-        .when(kind == "iban", rest(F.substring(value, 1, 2)))
-        .when(kind == "phone", rest(F.regexp_extract(value, r"^(?:\+\d(?!\d\d\d)\d{0,2}|\()?", 0)))
+        .when(kind == "iban", _iban(value, plain))
+        .when(kind == "ip6", _formatted(value, digest, hexadecimal=True))
+        .when(kind == "han", _han(value, digest))
+        .when(kind == "phone", rest(F.regexp_extract(value, r"^(?:\+\d(?!\d\d\d)\d{0,2}|\(|0)?", 0)))
         .when(kind == "card", card)
-        .when(kind == "ip", ip)
+        .when(kind == "ip", _ip(value, digest))
         .when(kind == "surname", _surname(value, digest))
         .otherwise(plain)
     )
@@ -239,7 +282,8 @@ def _parts(value: Column) -> Column:
     """Tokens (kind, token) that need a surrogate: an entity itself, or the surnames of a person."""
     kind = kind_of(value)
     known = F.array(*(F.lit(x) for x in [*TITLES, *PARTICLES, *(n for names in GIVEN.values() for m in names for n in (m, m.upper()))]))
-    names = F.filter(F.split(value, " "), lambda t: ~F.array_contains(known, t) & ~t.rlike(r"^\p{Lu}\.$"))
+    listed = lambda t: F.forall(F.split(t, "-"), lambda p: F.array_contains(known, p))
+    names = F.filter(F.split(value, " "), lambda t: ~F.array_contains(known, t) & ~listed(t) & ~t.rlike(r"^\p{Lu}\.$"))
     one = F.array(F.struct(kind.alias("kind"), value.alias("token")))
     return F.when(kind == "person", F.transform(names, lambda t: F.struct(F.lit("surname").alias("kind"), F.lower(t).alias("token")))).otherwise(one)
 
@@ -254,44 +298,47 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     A column n_entities of docs is replaced, all others are kept, and no column
     but the text is looked at. Digits that fail the Luhn check aren't cards.
     """
-    kept = [c for c in docs.columns if c != "n_entities"]
-    marked = docs.select(*kept, F.filter(_found(F.col(text_col)), _is_entity).alias("_entities"))
-    none = F.coalesce(F.size("_entities"), F.lit(0)) <= 0
+    kept = [c for c in docs.columns if c.lower() != "n_entities"]
+    at = {n: fresh(f"_{n}", docs) for n in "entities key map spans spoken pieces new".split()}
+    marked = docs.select(*kept, F.filter(_found(F.col(text_col)), _is_entity).alias(at["entities"]))
+    none = F.coalesce(F.size(at["entities"]), F.lit(0)) <= 0
     clean = marked.filter(none).select(*kept, F.lit(0).cast("long").alias("n_entities"))
     some = docs.select(*kept).filter(F.coalesce(F.exists(_found(F.col(text_col)), _is_entity), F.lit(False)))
-    some = some.withColumn("_key", F.md5(text_col))
+    some = some.withColumn(at["key"], F.md5(text_col))
     tokens = F.array_distinct(F.flatten(F.transform(F.filter(_found(F.col(text_col)), _is_entity), _parts)))
-    held = some.select("_key", F.explode(tokens).alias("t")).select("_key", "t.kind", "t.token")
+    held = some.select(at["key"], F.explode(tokens).alias("t")).select(at["key"], "t.kind", "t.token")
     held = checkpointed(held.distinct())
     named = surrogates(held.select("kind", "token").distinct(), key)
-    pairs = held.join(named, ["kind", "token"]).groupBy("_key").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat("kind", F.lit(":"), "token"), "surrogate")))).alias("_map")
+    pairs = held.join(named, ["kind", "token"]).groupBy(at["key"]).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat("kind", F.lit(":"), "token"), "surrogate")))).alias(at["map"])
     )
     given = given_names(key)
     names, stays = _literal_map(given), F.array(*map(F.lit, [*TITLES, *PARTICLES]))
 
     def word(t: Column) -> Column:
-        return F.coalesce(F.try_element_at(names, t), _cased(F.try_element_at(F.col("_map"), F.concat(F.lit("surname:"), F.lower(t))), t), t)
+        joined = F.transform(F.split(t, "-"), lambda p: F.try_element_at(names, p))
+        compound = F.when(t.contains("-") & F.forall(joined, lambda p: p.isNotNull()), F.array_join(joined, "-"))
+        return F.coalesce(F.try_element_at(names, t), compound, _cased(F.try_element_at(F.col(at["map"]), F.concat(F.lit("surname:"), F.lower(t))), t), t)
 
     def replaced(v: Column) -> Column:
         kind = kind_of(v)
         person = F.array_join(F.transform(F.split(v, " "), word), " ")
-        other = F.coalesce(F.try_element_at(F.col("_map"), F.concat(kind, F.lit(":"), v)), v)
+        other = F.coalesce(F.try_element_at(F.col(at["map"]), F.concat(kind, F.lit(":"), v)), v)
         return F.when(kind == "person", person).otherwise(other)
 
-    spoken = F.filter(F.flatten(F.transform(F.filter(F.col("_spans"), lambda v: kind_of(v) == "person"), lambda v: F.split(v, " "))), lambda t: (F.length(t) > 2) & ~F.array_contains(stays, t))
+    spoken = F.filter(F.flatten(F.transform(F.filter(F.col(at["spans"]), lambda v: kind_of(v) == "person"), lambda v: F.split(v, " "))), lambda t: (F.length(t) > 2) & ~F.array_contains(stays, t))
     pieces = F.split(F.col(text_col), PATTERN, -1)
     boundary = r"(?<!\p{L})(?=\p{L})|(?<=\p{L})(?!\p{L})"
     alone = F.transform(
-        pieces, lambda p: F.array_join(F.transform(F.split(p, boundary, -1), lambda t: F.when(F.array_contains(F.col("_spoken"), t), word(t)).otherwise(t)), "")
+        pieces, lambda p: F.array_join(F.transform(F.split(p, boundary, -1), lambda t: F.when(F.array_contains(F.col(at["spoken"]), t), word(t)).otherwise(t)), "")
     )
     done = (
-        some.join(pairs, "_key", "left")
-        .withColumn("_spans", F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)))
-        .withColumn("_spoken", spoken)
-        .withColumn("n_entities", F.size(F.filter("_spans", _is_entity)).cast("long"))
-        .withColumn("_pieces", F.when(F.size("_spoken") > 0, alone).otherwise(pieces))
-        .withColumn("_new", F.concat(F.transform("_spans", replaced), F.array(F.lit(""))))
-        .withColumn(text_col, F.array_join(F.zip_with("_pieces", "_new", lambda a, b: F.concat(a, b)), ""))
+        some.join(pairs, at["key"], "left")
+        .withColumn(at["spans"], F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)))
+        .withColumn(at["spoken"], spoken)
+        .withColumn("n_entities", F.size(F.filter(at["spans"], _is_entity)).cast("long"))
+        .withColumn(at["pieces"], F.when(F.size(at["spoken"]) > 0, alone).otherwise(pieces))
+        .withColumn(at["new"], F.concat(F.transform(at["spans"], replaced), F.array(F.lit(""))))
+        .withColumn(text_col, F.array_join(F.zip_with(at["pieces"], at["new"], lambda a, b: F.concat(a, b)), ""))
     )
     return clean.unionByName(done.select(*kept, "n_entities"))
