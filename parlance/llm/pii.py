@@ -73,7 +73,8 @@ _SURNAME = r"\p{Lu}(?:\p{L}{0,3}['’])?\p{L}+(?:['’]\p{L}{2,})?(?:-\p{Lu}(?:\
 _GIVEN = rf"{_NAME}(?:-\p{{Lu}}\p{{L}}+)*(?: {_NAME}(?:-\p{{Lu}}\p{{L}}+)*| \p{{Lu}}\.)?"
 _PARTICLES = rf"(?: (?:{'|'.join(PARTICLES)}))*"
 #: Words after which a name of unlisted words stands.
-_SAYS_NAME = r"(?<=(?:[Nn]ame is|Name:|Author:|Contact:|Attn:|Signed:|[Dd]ear|Sincerely,|[Rr]egards,|I am|I’m|I'm) )"
+SAYS_NAME = "Name:|name is|Name is|Author:|Contact:|Attn:|Signed:|dear|Dear|Sincerely,|Regards,|regards,|I am|I’m|I'm".split("|")
+_SAYS_NAME = rf"(?<=(?:{'|'.join(SAYS_NAME)}) )"
 #: Frequent surnames that are written as one Han character, and characters of given names.
 HAN_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗"
 HAN_GIVEN = "明伟芳娜敏静丽强磊军洋勇艳杰涛超华平刚玲"
@@ -88,15 +89,18 @@ KINDS = {
     "ip6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{3,4}:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.-])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.-])\d{3}[-. ]\d{3}[-. ]\d{4}(?![\w-])"
-    r"|(?<![\w.+/-])0[1-9](?:[ .]\d{2}){4}(?![\w/])|(?<![\w.+/-])0[1-9]\d{1,3}[ /-]\d{5,8}(?![\w/-])",
+    "phone": r"(?=[+(\d])(?:(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.-])(?:\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|\d{3}[-. ]\d{3}[-. ]\d{4}(?![\w-]))"
+    r"|(?<![\w.+/-])0[1-9](?:(?:[ .]\d{2}){4}(?![\w/])|\d{1,3}[ /-]\d{5,8}(?![\w/-])))",
     "person": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{_TITLE} )?{_GIVEN}{_PARTICLES} {_SURNAME}|{_TITLE} (?:\p{{Lu}}\p{{L}}+ ){{0,2}}{_SURNAME}"
     rf"|{_SAYS_NAME}{_SURNAME}(?: \p{{Lu}}\.)?{_PARTICLES} {_SURNAME}|{_SURNAME} {_SURNAME}(?= ?[<(][A-Za-z0-9._%+-]{{1,64}}@))(?!\p{{L}})",
-    "han": rf"(?<=我叫|我是|姓名：|姓名:)[{HAN_SURNAMES}]\p{{IsHan}}{{1,2}}(?!\p{{IsHan}})|[{HAN_SURNAMES}]\p{{IsHan}}{{1,2}}(?=先生|女士|小姐|老师)",
+    "han": rf"[{HAN_SURNAMES}](?<=(?:我叫|我是|姓名：|姓名:).)\p{{IsHan}}{{1,2}}(?!\p{{IsHan}})|[{HAN_SURNAMES}]\p{{IsHan}}{{1,2}}(?=先生|女士|小姐|老师)",
 }
-PATTERN = "|".join(KINDS.values())
+#: No entity begins within a word of ASCII letters, which rules most places out at the first look.
+PATTERN = r"(?<![A-Za-z])(?:" + "|".join(KINDS.values()) + ")"
 #: A text without a match of this holds no entity: a digit, an @, a quoted secret, a key's start, a given name or title as a word, or words that come with names.
-HINT = rf"[0-9@]|[=:] ?[\"']|(?<!\p{{L}})(?:{_NAME}|{_TITLE})[ -]|[a-fA-F]{{32}}|(?<![0-9A-Za-z])(?:AKIA|gh[pousr]_|sk-)|{_SAYS_NAME}\p{{Lu}}|我叫|我是|姓名|先生|女士|小姐|老师"
+HINT = (
+    rf"[0-9@]|[=:] ?[\"']|(?<![A-Za-z])(?:(?<!\p{{L}})(?:{_NAME}|{_TITLE})[ -]|[a-fA-F]{{32}}|(?<![0-9A-Za-z])(?:AKIA|gh[pousr]_|sk-)|{any_of(SAYS_NAME)} \p{{Lu}}|[{HAN_SURNAMES}])"
+)
 #: Draws after which a surrogate gives up its form for a tag that is distinct by its hash.
 MOST_DRAWS = 8
 
