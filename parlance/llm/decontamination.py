@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 #: Tokens in a window; an item that is shorter is one window. Literal tokens that a window has at least, as a share.
 WINDOW, LITERAL = 8, 0.5
 #: Tokens that a template has at least; of shorter items only verbatim copies are found. `too_short` lists those.
@@ -295,7 +297,7 @@ def _over(docs: DataFrame, items: list[tuple[int, str]], rows: Callable, schema)
         for batch in batches:
             yield rows(block, batch)
 
-    return docs.mapInArrow(scan, schema)
+    return in_arrow(docs, scan, schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import in_arrow
+
 #: Frequent function words of the languages that are told from lists and menus.
 STOP_WORDS = frozenset(
     "the of and to in is that it for on with as was be by at this from are or an not but have has had his her they you we which their will would"
@@ -397,4 +399,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 own = pa.array([[{"text": b.text, "good": b.label == GOOD, "by": b.by} for b in page] for page in found], kind)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), own], schema.names)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, schema)
+    return in_arrow(pages.select("page_id", "url", "html"), run, schema)

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_arrow
+
 #: The bounds of the training sample: texts of a language, and symbols that are learned of it. Texts of up to SAMPLE_LENGTH characters come first.
 SAMPLE_TEXTS, SAMPLE_SYMBOLS, SAMPLE_LENGTH = 100, 40_000, 2_000
 #: Symbols of all languages together; with many languages each gets its share.
@@ -168,7 +170,7 @@ class Model:
                 np.add.at(counts[:, lang], own, found)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def model(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
     """Built once in each worker process."""
     return Model(samples)
@@ -238,7 +240,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, tuple[str, ...]], ...])
 
     added = T.StructType().add("lang_pred", "string").add("score", "double").add("phrase_rate", "double")
     schema = T.StructType([*docs.schema.fields, *added.fields])
-    return docs.mapInArrow(predict, schema)
+    return in_arrow(docs, predict, schema)
 
 
 #: Of the held-back texts' costs, the share that lies under the fit; what chance adds to the cost of a text of one symbol.
@@ -283,4 +285,4 @@ def keep_identified(docs: DataFrame, samples, bound: float | None = None) -> Dat
             stays = (sizes > 0) & (costs <= bound + CHANCE / np.sqrt(np.maximum(sizes, 1)))
             yield batch.filter(pa.array(stays)).select(kept)
 
-    return docs.mapInArrow(judge, docs.schema) if sampled else docs.limit(0)
+    return in_arrow(docs, judge, docs.schema) if sampled else docs.limit(0)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import in_arrow
 from .decontamination import ROUND, canonical
 from .license_texts import COMMON, GENERIC, TEMPLATES, notices
 
@@ -203,4 +204,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
                 schema.names,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", "text"), run, schema)

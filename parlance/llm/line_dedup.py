@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fresh, spread_join
+from .common import checkpointed, fresh, in_arrow, spread_join
 
 #: Lines in the window of the rolling hash, its base and modulus, and the one of how many windows that does not end a chunk.
 SPAN, BASE, MODULUS, DIVISOR = 2, 1_000_003, 2_147_483_647, 64
@@ -91,7 +91,7 @@ def _index(docs: DataFrame, row: str) -> DataFrame:
             arrays = [batch.column(0).take(owners), batch.column(1).take(owners), pa.array(place, pa.int32()), pa.array(pair, pa.bool_()), pa.array(digest, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return docs.filter("doc_id is not null and text is not null").select("doc_id", row, "text").mapInArrow(run, schema)
+    return in_arrow(docs.filter("doc_id is not null and text is not null").select("doc_id", row, "text"), run, schema)
 
 
 def _texts(marked: DataFrame, row: str, wanted: str) -> DataFrame:
@@ -111,7 +111,7 @@ def _texts(marked: DataFrame, row: str, wanted: str) -> DataFrame:
             owners = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(doc).take(owners), batch.column(own).take(owners), pa.array(place, pa.int32()), pa.array(found, pa.binary())], schema.names)
 
-    return marked.mapInArrow(run, schema)
+    return in_arrow(marked, run, schema)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     found = spread_join(later, texts, ["doc", "row", "place"])
     found = found.groupBy(F.col("of").alias("doc"), F.col("of_row").alias("row")).agg(F.collect_list(F.struct("at", "chunk")).alias(later_name))
     marked = _beside(docs, found, row, later_name)
-    return marked.mapInArrow(_removal(kept), T.StructType([*docs.select(*kept).schema.fields, T.StructField("removed_lines", T.LongType())]))
+    return in_arrow(marked, _removal(kept), T.StructType([*docs.select(*kept).schema.fields, T.StructField("removed_lines", T.LongType())]))
 
 
 def _beside(docs: DataFrame, marks: DataFrame, row: str, name: str) -> DataFrame:

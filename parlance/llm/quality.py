@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_arrow
+
 #: Columns of hashed n-grams, and the lengths of these.
 COLUMNS, LENGTHS = 1 << 18, (1, 2, 3)
 #: The bounds of the training sample: documents of each class, and the characters up to which a document is taken, whole.
@@ -216,4 +218,4 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
             scores = [shared.value.score(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", "text"), run, schema)

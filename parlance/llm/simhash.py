@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fresh
+from .common import checkpointed, fresh, in_arrow
 from .components import connected_components
 
 SHINGLE = 3
@@ -64,7 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) for every row of docs, computed once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return checkpointed(docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long"))
+    return checkpointed(in_arrow(docs.select("doc_id", "text"), _fingerprints, f"doc_id {kind}, fp long"))
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     sent = sent.filter("not home or part <= part_b").withColumn("same", F.col("home") & (F.col("part") == F.col("part_b")))
     pairs = sent.select("a", "same", *counts, "part_b").join(tiles.withColumnRenamed("part", "part_b"), [*counts, "part_b"])
     pairs = pairs.select("a", F.col("tile").alias("b"), "same", F.lit(radius).alias("radius"))
-    return pairs.mapInArrow(_compare, "a long, b long")
+    return in_arrow(pairs, _compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -171,7 +171,7 @@ def _with_fingerprints(docs: DataFrame, name: str) -> DataFrame:
             found = np.array([fingerprint(x.as_py()) for x in batch.column(at).cast(pa.binary())], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names)
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return in_arrow(docs, add, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_arrow
+
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Tag numbers, and size and struct code of each field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -341,7 +343,7 @@ def explode_pages(files: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.bool_(), pa.int64(), pa.binary(), pa.string())
                     yield pa.RecordBatch.from_arrays([own, *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], names)
 
-    return files.select(id_col, media_col).mapInArrow(run, schema)
+    return in_arrow(files.select(id_col, media_col), run, schema)
 
 
 #: Texts as images: samples in a row, rows of a page and of a strip.
@@ -384,7 +386,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 arrays = [batch.column(0)[k : k + 256], pa.array(sizes, pa.int64()), pa.array(sums, pa.string()), pa.array(files, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    stored = docs.select("doc_id", "text").mapInArrow(run, schema)
+    stored = in_arrow(docs.select("doc_id", "text"), run, schema)
     key = F.struct("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), "media_sha256")
     return stored.select(key.alias("key"), "media")
 
@@ -460,4 +462,4 @@ def digests(pages_of_texts: DataFrame) -> DataFrame:
         if now:
             yield rows([now])
 
-    return pages_of_texts.select("key", "page", "pixels", "error").mapInArrow(run, schema)
+    return in_arrow(pages_of_texts.select("key", "page", "pixels", "error"), run, schema)
