@@ -127,12 +127,12 @@ def shave_preamble(text: Column) -> Column:
 def retry_wait(header: Column, body: Column, attempt: Column) -> Column:
     """Seconds to wait: the header's, else the body's retryDelay up to 180, else 8 for each attempt made."""
     told = F.try_to_number(F.nullif(F.regexp_extract(body, r"retryDelay\"?\s*:\s*\"?(\d+)", 1), F.lit("")), F.lit("999999999")).cast("double")
-    return F.coalesce(header.try_cast("double"), F.least(told, F.lit(180.0)), 8.0 * (attempt + 1))
+    return F.coalesce(header.try_cast("double"), F.when(told.isNotNull(), F.least(told, F.lit(180.0))), 8.0 * (attempt + 1))
 
 
 def payload_size(data: Column) -> Column:
-    """Characters of the data in base64."""
-    return F.length(F.base64(data))
+    """Characters of the data in base64, without line breaks."""
+    return (4 * F.ceil(F.octet_length(data) / 3)).cast("int")
 
 
 def error_kind(code: Column, body: Column) -> Column:

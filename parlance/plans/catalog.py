@@ -16,6 +16,7 @@ from ..operators import intervals as I
 from ..operators import quality as Q
 from ..operators import report as R
 from ..operators import signal as S
+from . import more
 from . import tables as T
 from .oracles import ORACLES  # noqa: F401
 
@@ -236,7 +237,7 @@ def sweep_report(spark, sf_dir):
     events = T.read(spark, sf_dir, "events").filter("value is not null")
     rows = events.crossJoin(F.broadcast(limits)).filter(F.col("value") / 500 >= F.col("threshold") / 4)
     rows = rows.groupBy("threshold").agg(F.count("*").alias("words"), F.round(F.sum("value"), 2).alias("speech_sec"), F.count_distinct("user_id").alias("speakers"))
-    rows = rows.withColumn("agree", F.round(100 * F.col("words") / 10000, 2))
+    rows = rows.crossJoin(F.broadcast(events.agg(F.count("*").alias("_all")))).withColumn("agree", F.round(100 * F.col("words") / F.col("_all"), 2)).drop("_all")
     return R.baseline_deltas(rows, "threshold", "agree", F.col("threshold") == 0.3)
 
 
@@ -387,4 +388,5 @@ def clipped_runs(spark, sf_dir):
     rows = T.read(spark, sf_dir, "events").select((F.col("event_id") % 3).alias("call_id"), F.floor(F.col("event_id") / 3).alias("pos"), (F.col("value") / 25).alias("x"))
     return S.clipped_runs(rows, level=0.9, least=3)
 
-
+QUERIES |= more.QUERIES
+ORACLES |= more.ORACLES

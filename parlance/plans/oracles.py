@@ -206,7 +206,7 @@ ORACLES["variance_report"] = """SELECT o_orderpriority AS file, count(*) AS runs
 
 ORACLES["sweep_report"] = """WITH t(threshold) AS (VALUES (0.3::DOUBLE), (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE)),
 r AS (SELECT threshold, count(*) AS words, round(sum(value), 2) AS speech_sec, count(DISTINCT user_id) AS speakers FROM events, t WHERE value / 500 >= threshold / 4 GROUP BY threshold),
-a AS (SELECT *, round(100 * words / 10000, 2) AS agree FROM r),
+a AS (SELECT *, round(100 * words / (SELECT count(*) FROM events WHERE value IS NOT NULL), 2) AS agree FROM r),
 d AS (SELECT *, round(agree - (SELECT min(agree) FROM a WHERE threshold = 0.3), 4) AS delta FROM a)
 SELECT *, CASE WHEN delta > 0.5 THEN 'better' WHEN delta < -0.5 THEN 'worse' ELSE 'no change' END AS label FROM d"""
 
