@@ -16,8 +16,9 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """a scaled to length 1; zeros stay zeros."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+    #: The length is bound once, as an expression inside a lambda is worked out for each element.
+    scaled = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
+    return F.get(scaled, 0)
 
 
 def cosine(a: Column, b: Column) -> Column:

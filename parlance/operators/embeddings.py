@@ -41,8 +41,10 @@ def centroids(vectors: DataFrame, keys=("label",), vec: str = "vec", scaled: boo
 def similarities(vectors: DataFrame, cents: DataFrame, idx: str = "vec_id", vec: str = "vec", keys=()) -> DataFrame:
     """(keys, idx, centroid_label, sim): each vector with each centroid of its call; cents (keys, label, centroid) has a handful of rows per call, so it is sent along if small."""
     c = cents.select(*keys, F.col("label").alias("centroid_label"), "centroid")
-    rows = vectors.join(c, list(keys)) if keys else vectors.crossJoin(c)
-    return rows.select(*keys, idx, "centroid_label", dot(unit(F.col(vec)), F.col("centroid")).alias("sim"))
+    #: Scaled before the join, so once for each vector and not for each pair.
+    scaled = vectors.select(*keys, idx, unit(F.col(vec)).alias("_unit"))
+    rows = scaled.join(c, list(keys)) if keys else scaled.crossJoin(c)
+    return rows.select(*keys, idx, "centroid_label", dot(F.col("_unit"), F.col("centroid")).alias("sim"))
 
 
 def nearest_centroid(sims: DataFrame, idx: str = "vec_id", least_margin: float = 0.08, keys=()) -> DataFrame:
