@@ -247,14 +247,15 @@ def fuzzy_anchor_trim(answer: pd.Series, before: pd.Series, after: pd.Series) ->
     return pd.Series([one(*x) for x in zip(answer, before, after)])
 
 
-def splice(words: DataFrame, answers: DataFrame, keys=KEYS) -> DataFrame:
+def splice(words: DataFrame, answers: DataFrame, keys=KEYS, least_confidence: float = 0.5) -> DataFrame:
     """words with disputed ones replaced by the tokens of an answer, evenly spaced: keys, start, end, word, probability, source.
 
-    answers: keys, d_idx, out_word_ids, text, confidence. A token at the edge that
+    answers: keys, d_idx, out_word_ids, text, confidence; those under
+    least_confidence, or without one, change nothing. A token at the edge that
     equals the neighbouring word outside goes; an answer with no tokens left changes
     nothing. A token lasts 0.05 seconds or more.
     """
-    w = along(keys)
+    w, answers = along(keys), answers.filter(F.col("confidence") >= least_confidence)
     around = words.withColumn("_prev", F.lag("word").over(w)).withColumn("_next", F.lead("word").over(w))
     ids = answers.select(*keys, "d_idx", F.explode("out_word_ids").alias("idx"))
     spans = around.join(ids, [*keys, "idx"]).groupBy(*keys, "d_idx").agg(

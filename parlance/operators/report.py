@@ -156,3 +156,12 @@ def usage_cost(calls: DataFrame, prices: DataFrame, keys=("model",)) -> DataFram
 
 def mean_token_probability(logprobs: DataFrame, keys=("call_id",)) -> DataFrame:
     return logprobs.groupBy(*keys).agg(F.round(F.avg(F.exp("logprob")), 4).alias("probability"))
+
+
+def window_stats(windows: DataFrame, keys=("call_id",)) -> DataFrame:
+    """Windows (keys, start, end) of a plan: their number and the median, least and largest length in seconds."""
+    length = F.col("end") - F.col("start")
+    one = lambda x: F.round(F.round(x, 6), 1)
+    return windows.groupBy(*keys).agg(
+        F.count("*").alias("windows"), one(F.percentile(length, F.lit(0.5))).alias("median_sec"), one(F.min(length)).alias("least_sec"), one(F.max(length)).alias("most_sec")
+    )

@@ -138,3 +138,9 @@ _SRT = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} //
 SELECT call_id, string_agg(k || chr(10) || {_SRT.format('a')} || ' --> ' || {_SRT.format('z')} || chr(10) || coalesce(speaker, '?') || ': ' || text, chr(10) || chr(10) ORDER BY k) || chr(10) AS value FROM m GROUP BY call_id""")
 def subtitles(spark, sf_dir):
     return sinks.subtitles(T.turns(spark, sf_dir))
+
+
+@query(f"""WITH {TURNS}, l AS (SELECT call_id, "end" - start AS s FROM turns)
+SELECT call_id, count(*) AS windows, round(round(quantile_cont(s, 0.5), 6), 1)::DOUBLE AS median_sec, round(round(min(s), 6), 1)::DOUBLE AS least_sec, round(round(max(s), 6), 1)::DOUBLE AS most_sec FROM l GROUP BY call_id""")
+def window_stats(spark, sf_dir):
+    return R.window_stats(T.turns(spark, sf_dir))

@@ -7,6 +7,7 @@ applied again without asking again.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -42,43 +43,92 @@ class Recorded:
         return out.withColumn("error", F.when(F.col("_there").isNull(), "no recorded answer")).drop("_there")
 
 
+class Exhausted(Exception):
+    """A provider's quota is spent: asking it again is of no use."""
+
+
+def waits_of(attempt: int, error: Exception) -> float:
+    """Seconds before another attempt: what the error says in `retry_after`, up to 180, else 8 for each attempt made."""
+    told = getattr(error, "retry_after", None)
+    return min(float(told), 180.0) if told is not None else 8.0 * (attempt + 1)
+
+
 @dataclass
 class Called:
     """Answers from a function of a batch of rows, in Arrow batches; a failing batch yields its rows with the error.
 
     make is run once in each worker process, so a model or a client is held there.
+    A transient error is waited out and tried again; a provider that is Exhausted
+    or still fails is followed by the next of others, and an exhausted one isn't
+    asked again by that worker. With all of them exhausted the rest gets the error
+    at once.
     """
 
     make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
     schema: str
     attempts: int = 3
     transient: tuple[type[Exception], ...] = (TimeoutError, ConnectionError)
+    others: tuple[Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], ...] = ()
+    wait: Callable[[int, Exception], float] = waits_of
 
     def __call__(self, asked: DataFrame) -> DataFrame:
-        make, attempts, transient = self.make, self.attempts, self.transient
+        makers, attempts, transient, wait = (self.make, *self.others), self.attempts, self.transient, self.wait
         names = [c.strip().split(" ")[0] for c in self.schema.split(",")]
 
         def unanswered(rows: pd.DataFrame, e: Exception) -> pd.DataFrame:
             held = {c: list(rows[c]) if c in rows else [None] * len(rows) for c in names}
             return pd.DataFrame(held, dtype=object).assign(error=str(e) or type(e).__name__)
 
+        def ask(answer: Callable, rows: pd.DataFrame) -> tuple[pd.DataFrame | None, Exception | None]:
+            for attempt in range(attempts):
+                try:
+                    return answer(rows).assign(error=None), None
+                except transient as e:
+                    error: Exception = e
+                    if attempt + 1 < attempts:
+                        time.sleep(wait(attempt, e))
+                except Exception as e:  # noqa: BLE001  one bad batch never stops the job
+                    return None, e
+            return None, error
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            answer = make()
+            held: dict[int, Callable] = {}
+            spent: set[int] = set()
             for rows in batches:
-                for attempt in range(attempts):
-                    try:
-                        out = answer(rows).assign(error=None)
-                        break
-                    except transient as e:
-                        out = unanswered(rows, e)
-                    except Exception as e:  # noqa: BLE001  one bad batch never stops the job
-                        out = unanswered(rows, e)
-                        break
+                out, error = None, Exhausted("every provider is exhausted")
+                for k, make in enumerate(makers):
+                    if out is None and k not in spent:
+                        if k not in held:
+                            held[k] = make()
+                        out, error = ask(held[k], rows)
+                        if isinstance(error, Exhausted):
+                            spent.add(k)
+                out = unanswered(rows, error) if out is None else out
                 yield out[[*names, "error"]]
 
         return asked.mapInPandas(run, f"{self.schema}, error string")
 
 
+def with_carried_prompt(windows: DataFrame, make: Callable[[], Callable[[pd.Series, str | None], list[str]]], tail: int = 25, keys=("call_id",)) -> DataFrame:
+    """(keys, window, prompt, text): each window of a call asked with the last `tail` words heard so far as its prompt, null for the first.
+
+    The windows of a call follow each other by nature; calls are dealt over tasks.
+    make gives a function of a window's row and the prompt that returns words.
+    """
+    schema = ", ".join(f"{c} {windows.schema[c].dataType.simpleString()}" for c in (*keys, "window")) + ", prompt string, text string"
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        hear, heard, out = make(), [], []
+        for _, row in group.sort_values("window").iterrows():
+            prompt = " ".join(heard[-tail:]) or None
+            said = list(hear(row, prompt))
+            heard += said
+            out.append((*(row[c] for c in (*keys, "window")), prompt, " ".join(said)))
+        return pd.DataFrame(out, columns=[*keys, "window", "prompt", "text"])
+
+    return windows.groupBy(*keys).applyInPandas(run, schema)
+
+
 @dataclass
 class Registry:
     """Providers and engines by name."""

@@ -194,3 +194,48 @@ def test_raw_samples_of_every_depth(spark):
     rows = [(k, wav(v, k)) for k, v in held.items()] + [(5, b"broken"), (6, None), (7, wav([1, 2], 2)[:-1])]
     got = {r.k: r.x for r in spark.createDataFrame(rows, "k int, content binary").select("k", readers.raw_samples("content").alias("x")).collect()}
     assert {k: got[k] for k in held} == held and got[5] is None and got[6] is None and got[7] == [1]
+
+
+def test_failover_and_waits(spark):
+    asked = spark.createDataFrame([(f"c{k}", k) for k in range(6)], "call_id string, n int").coalesce(1)
+
+    def spent():
+        def answer(rows):
+            raise providers.Exhausted("quota")
+
+        return answer
+
+    def late():
+        state = []
+
+        def answer(rows):
+            state.append(1)
+            if len(state) < 3:
+                raise TimeoutError("later")
+            return rows[["call_id"]].assign(text="late")
+
+        return answer
+
+    quick = lambda attempt, error: 0.0
+    called = providers.Called(spent, "call_id string, text string", others=(late,), wait=quick)
+    assert {(r.text, r.error) for r in called(asked).collect()} == {("late", None)}
+    called = providers.Called(spent, "call_id string, text string", others=(spent,), wait=quick)
+    assert {(r.call_id, r.text) for r in called(asked).collect()} == {(f"c{k}", None) for k in range(6)}
+    error = TimeoutError()
+    error.retry_after = 900
+    assert providers.waits_of(1, TimeoutError()) == 16.0 and providers.waits_of(0, error) == 180.0
+
+
+def test_carried_prompt(spark):
+    windows = spark.createDataFrame([(c, k, 3) for c in "ab" for k in (2, 0, 1)], "call_id string, window int, n int")
+    make = lambda: lambda row, prompt: [f"{row['call_id']}{row['window']}{i}" for i in range(row["n"])]
+    got = {(r.call_id, r.window): r.prompt for r in providers.with_carried_prompt(windows, make, tail=4).collect()}
+    assert got["a", 0] is None and got["b", 1] == "b00 b01 b02" and got["a", 2] == "a02 a10 a11 a12"
+
+
+def test_unsure_answers_change_nothing(spark):
+    from parlance.operators import consensus as C
+
+    words = spark.createDataFrame([("c", k, w, float(k), k + 1.0, 0.9) for k, w in enumerate("one two three".split())], "call_id string, idx int, word string, start double, end double, probability double")
+    answers = spark.createDataFrame([("c", 0, [1], "TWO", 0.49), ("c", 1, [2], "THREE", 0.5), ("c", 2, [0], "ONE", None)], "call_id string, d_idx int, out_word_ids array<int>, text string, confidence double")
+    assert [r.word for r in C.splice(words, answers).orderBy("start").collect()] == ["one", "two", "THREE"]
