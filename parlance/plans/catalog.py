@@ -16,7 +16,7 @@ from ..operators import intervals as I
 from ..operators import quality as Q
 from ..operators import report as R
 from ..operators import signal as S
-from . import more
+from . import further, more  # noqa: F401
 from . import tables as T
 from .oracles import ORACLES  # noqa: F401
 

@@ -302,3 +302,10 @@ ORACLES["clipped_runs"] = """WITH h AS (SELECT event_id % 3 AS call_id, event_id
 r AS (SELECT call_id, pos - row_number() OVER (PARTITION BY call_id ORDER BY pos) AS run FROM h),
 n AS (SELECT call_id, run, count(*) AS n FROM r GROUP BY ALL HAVING count(*) >= 3)
 SELECT call_id, count(*) AS runs, sum(n)::BIGINT AS clipped FROM n GROUP BY call_id"""
+
+ORACLES["pack_windows"] = f"""WITH RECURSIVE {_SESSIONS},
+o AS (SELECT call_id, start, "end", row_number() OVER w AS k, lead(start) OVER w AS following FROM sessions WINDOW w AS (PARTITION BY call_id ORDER BY start, span_idx)),
+n AS (SELECT a.call_id, a.k, a.start, coalesce(min(b.k) FILTER (WHERE b.following IS NOT NULL AND b."end" - a.start BETWEEN 2 * 86400 AND 4 * 86400), max(b.k) FILTER (WHERE b."end" - a.start <= 4 * 86400 OR b.k = a.k)) AS cut
+  FROM o a JOIN o b ON b.call_id = a.call_id AND b.k >= a.k GROUP BY ALL),
+f AS (SELECT call_id, 0 AS "window", start, cut FROM n WHERE k = 1 UNION ALL SELECT n.call_id, f."window" + 1, n.start, n.cut FROM f JOIN n ON n.call_id = f.call_id AND n.k = f.cut + 1)
+SELECT f.call_id, f."window", f.start, o."end" FROM f JOIN o ON o.call_id = f.call_id AND o.k = f.cut"""
