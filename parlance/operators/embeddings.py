@@ -23,7 +23,7 @@ def window_plan(spans: DataFrame, length: float = 1.5, hop: float = 0.25, voiced
     r = voiced.select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     part = F.least("end", "r_end") - F.greatest("start", "r_start")
     held = overlap_join(rows, r, keys).groupBy(*keys, "span_idx", "win_idx", "start", "end").agg(F.sum(part).alias("_v"))
-    return held.filter(F.col("_v") / length >= least_voiced).drop("_v")
+    return held.filter(F.round(F.col("_v") / length, 9) >= least_voiced).drop("_v")
 
 
 def centroids(vectors: DataFrame, keys=("label",), vec: str = "vec", scaled: bool = True) -> DataFrame:
