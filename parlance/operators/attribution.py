@@ -69,13 +69,12 @@ def vote_by_sentence(words: DataFrame, keys=KEYS, ends: Column | None = None, le
     return rows.select(*words.columns, voted.alias("voted"))
 
 
-def collapse_speakers(turns: DataFrame, expected: int = 2, most_share: float = 0.15, gap: float = 1.0, keys=KEYS) -> DataFrame:
-    """Turns with the labels beyond the expected ones folded into those that talk most, and rejoined.
+def fold_speakers(turns: DataFrame, expected: int = 2, most_share: float = 0.15, keys=KEYS) -> DataFrame:
+    """turns with the labels beyond the expected ones folded into those that talk most, and applied.
 
-    Returns keys, run, speaker, start, end, n and applied. A call is left as it is if
-    it has no surplus label or one of these holds over most_share of the talk. A
-    surplus turn takes the label of the kept turn nearest by its middle, the
-    first on a tie.
+    A call is left as it is if it has no surplus label or one of these holds over
+    most_share of the talk. A surplus turn takes the label of the kept turn nearest
+    by its middle, the first on a tie.
     """
     talk = turns.groupBy(*keys, "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("_sec"), F.min("turn_id").alias("_first"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("_sec", 6).desc(), "_first"))
@@ -84,14 +83,22 @@ def collapse_speakers(turns: DataFrame, expected: int = 2, most_share: float = 0
     calls = talk.groupBy(*keys).agg((~F.bool_or("_big") & F.bool_or(~F.col("_kept"))).alias("applied"))
     rows = turns.join(talk.select(*keys, "speaker", "_kept"), [*keys, "speaker"]).join(calls, list(keys))
     kept, extra = rows.filter("_kept or not applied"), rows.filter("not _kept and applied")
-    spans = kept.select(*keys, F.col("turn_id").alias("r_idx"), F.col("start").alias("r_mid"), F.col("end").alias("r_end"), F.col("speaker").alias("r_speaker"))
-    middle = (F.col("r_mid") + F.col("r_end")) / 2
-    spans = spans.select(*keys, "r_idx", middle.alias("r_start"), middle.alias("r_end"), "r_speaker")
+    middle = (F.col("start") + F.col("end")) / 2
+    spans = kept.select(*keys, F.col("turn_id").alias("r_idx"), middle.alias("r_start"), middle.alias("r_end"), F.col("speaker").alias("r_speaker"))
     near = nearest_segment(extra.withColumnRenamed("turn_id", "idx"), spans, keys).select(*keys, F.col("idx").alias("turn_id"), "near_speaker")
     folded = extra.join(near, [*keys, "turn_id"]).withColumn("speaker", F.col("near_speaker")).drop("near_speaker")
-    moved = kept.unionByName(folded)
-    joined = merge_runs(moved.filter("applied"), gap, keys, idx="turn_id")
-    same = moved.filter("not applied").select(*keys, F.col("turn_id").cast("long").alias("run"), "speaker", "start", "end", F.lit(1).cast("long").alias("n"))
+    return kept.unionByName(folded).select(*turns.columns, "applied")
+
+
+def collapse_speakers(turns: DataFrame, expected: int = 2, most_share: float = 0.15, gap: float = 1.0, keys=KEYS, text: str | None = None) -> DataFrame:
+    """Turns with surplus labels folded as by fold_speakers, and rejoined in the calls where that was done.
+
+    Returns keys, run, speaker, start, end, n, applied and, given its column, the text.
+    """
+    moved = fold_speakers(turns, expected, most_share, keys)
+    joined = merge_runs(moved.filter("applied"), gap, keys, idx="turn_id", text=text)
+    more = [] if text is None else [text]
+    same = moved.filter("not applied").select(*keys, F.col("turn_id").cast("long").alias("run"), "speaker", "start", "end", F.lit(1).cast("long").alias("n"), *more)
     return joined.withColumn("applied", F.lit(True)).unionByName(same.withColumn("applied", F.lit(False)))
 
 

@@ -29,8 +29,8 @@ def islands(df: DataFrame, begins: Column, keys=KEYS, order=("start", "idx"), na
     return flagged.withColumn(name, F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_begins")
 
 
-def merge_runs(df: DataFrame, gap: float | None = None, keys=KEYS, label: str = "speaker", idx: str = "idx") -> DataFrame:
-    """Neighbours of one label become one row: keys, run, label, start, end (the largest), n.
+def merge_runs(df: DataFrame, gap: float | None = None, keys=KEYS, label: str = "speaker", idx: str = "idx", text: str | None = None) -> DataFrame:
+    """Neighbours of one label become one row: keys, run, label, start, end (the largest), n and, given its column, their text in order.
 
     With a gap, a row joins only if it starts at most gap seconds after the largest
     end so far of its label's run.
@@ -43,9 +43,10 @@ def merge_runs(df: DataFrame, gap: float | None = None, keys=KEYS, label: str =
         so_far = F.max("end").over(along((*keys, "_run"), order).rowsBetween(Window.unboundedPreceding, -1))
         runs = runs.withColumn("_so_far", so_far)
         runs = islands(runs, F.col("_so_far").isNull() | (F.col("start") - F.col("_so_far") > gap), keys, order, "_run")
+    said = [] if text is None else [F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", idx, F.col(text).alias("_said")))), lambda r: r["_said"]), " ").alias(text)]
     return (
         runs.groupBy(*keys, F.col("_run").alias("run"))
-        .agg(F.min_by(label, F.struct("start", idx)).alias(label), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+        .agg(F.min_by(label, F.struct("start", idx)).alias(label), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), *said)
     )
 
 
