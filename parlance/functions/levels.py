@@ -29,6 +29,11 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """value * 10^digits rounded half up, over 10^digits, as DuckDB does; Spark's round goes by the decimal text and makes 0.29 of 0.285, which is a bit less than that."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def effective_bits(levels: Column) -> Column:
     """log2 of the number of distinct sample values."""
     return F.log2(F.greatest(F.count_distinct(levels), F.lit(1)).cast("double"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.levels import rounded
+
 KEYS = ("call_id",)
 
 
@@ -106,7 +108,8 @@ def assign_words(words: DataFrame, segments: DataFrame, keys=KEYS, bucket: float
     The label with the largest summed overlap wins, the one whose first overlapping
     segment comes first on a tie; confidence is that overlap over the word's length,
     at most 1. Without overlap the segment nearest to the word's middle, the
-    first on a tie, with confidence 0; null without segments.
+    first on a tie, with confidence 0; null without segments, or where the segment
+    has no label.
     """
     spans = segments.select(*keys, F.col("seg_idx").alias("r_idx"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("speaker").alias("r_speaker"))
     part = F.least("end", "r_end") - F.greatest("start", "r_start")
@@ -119,29 +122,30 @@ def assign_words(words: DataFrame, segments: DataFrame, keys=KEYS, bucket: float
     )
     near = nearest_segment(words.join(best, [*keys, "idx"], "left_anti"), spans, keys)
     length = F.greatest(F.col("end") - F.col("start"), F.lit(1e-6))
-    sure = F.round(F.least(F.col("best.shared") / length, F.lit(1.0)), 3)
+    sure = rounded(F.least(F.col("best.shared") / length, F.lit(1.0)), 3)
     return (
         words.join(best, [*keys, "idx"], "left")
         .join(near, [*keys, "idx"], "left")
         .select(
             *words.columns,
             F.coalesce(F.col("best.speaker"), F.col("near_speaker")).alias("assigned"),
-            F.when(F.col("best").isNotNull(), sure).when(F.col("near_speaker").isNotNull(), 0.0).alias("speaker_confidence"),
+            F.when(F.col("best.speaker").isNotNull(), sure).when(F.col("near_speaker").isNotNull(), 0.0).alias("speaker_confidence"),
         )
     )
 
 
 def nearest_segment(words: DataFrame, spans: DataFrame, keys=KEYS) -> DataFrame:
-    """(keys, idx, near_idx, near_speaker, distance): the span nearest to the middle of each word, 0 away inside one."""
+    """(keys, idx, near_idx, near_speaker, distance): the span nearest to the middle of each word, to the microsecond, 0 away inside one; the smallest r_idx on a tie."""
     points = words.select(*keys, "idx", ((F.col("start") + F.col("end")) / 2).alias("mid"))
     inside = points.join(spans.withColumnsRenamed({k: f"_{k}" for k in keys}), _equal(keys) & (F.col("r_start") <= F.col("mid")) & (F.col("mid") <= F.col("r_end")))
     inside = inside.groupBy(*keys, "idx").agg(F.min("r_idx").alias("in_idx"))
     sides = neighbours(points, spans, keys).join(inside, [*keys, "idx"], "left")
     back, on = F.col("mid") - F.col("before.edge"), F.col("after.edge") - F.col("mid")
+    nearer = F.round(back, 6) - F.round(on, 6)
     pick = (
         F.when(F.col("in_idx").isNotNull(), F.struct(F.lit(0.0).alias("d"), F.col("in_idx").alias("i")))
-        .when(F.col("after").isNull() | (F.round(back, 9) < F.round(on, 9)), F.struct(back.alias("d"), F.col("before.idx").alias("i")))
-        .when(F.col("before").isNull() | (F.round(back, 9) > F.round(on, 9)), F.struct(on.alias("d"), F.col("after.idx").alias("i")))
+        .when(F.col("after").isNull() | (nearer < 0), F.struct(back.alias("d"), F.col("before.idx").alias("i")))
+        .when(F.col("before").isNull() | (nearer > 0), F.struct(on.alias("d"), F.col("after.idx").alias("i")))
         .otherwise(F.struct(back.alias("d"), F.least("before.idx", "after.idx").alias("i")))
     )
     chosen = sides.select(*keys, "idx", pick.alias("p")).select(*keys, "idx", F.col("p.i").alias("r_idx"), F.col("p.d").alias("distance"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.levels import spread
+from ..functions.levels import rounded, spread
 from ..operators import attribution as A
 from ..operators import consensus as C
 from ..operators import embeddings as V
@@ -115,7 +115,7 @@ def _shifted(spark, sf_dir):
 def assign_overlap(spark, sf_dir):
     segs = T.segments(spark, sf_dir).select("call_id", F.col("idx").alias("seg_idx"), "speaker", "start", (F.col("end") + 600).alias("end"))
     out = I.assign_words(_shifted(spark, sf_dir), segs)
-    return out.select("call_id", "idx", "assigned", F.round("speaker_confidence", 2).alias("speaker_confidence"))
+    return out.select("call_id", "idx", "assigned", rounded(F.col("speaker_confidence"), 2).alias("speaker_confidence"))
 
 
 @query
