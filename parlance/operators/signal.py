@@ -36,9 +36,9 @@ def frame_levels(frames: DataFrame) -> DataFrame:
 
 
 def energy_gate(levels: DataFrame, above: float = 6.0, silence: float = -80.0, keys=KEYS) -> DataFrame:
-    """levels with voiced: louder by `above` than the 20th percentile of the call's frames that aren't silent."""
+    """levels with voiced: louder by more than `above`, whatever the floating-point remainder, than the 20th percentile of the call's frames that aren't silent."""
     floor = levels.groupBy(*keys).agg(F.percentile(F.when(F.col("db") > silence, F.col("db")), F.lit(0.2)).alias("_floor"))
-    return levels.join(floor, list(keys)).withColumn("voiced", F.coalesce(F.col("db") > F.col("_floor") + above, F.lit(False))).drop("_floor")
+    return levels.join(floor, list(keys)).withColumn("voiced", F.coalesce(F.round(F.col("db") - F.col("_floor"), 6) > above, F.lit(False))).drop("_floor")
 
 
 def activity(levels: DataFrame, frame_sec: float = 0.02, silence: float = -80.0, keys=KEYS) -> DataFrame:

@@ -44,3 +44,16 @@ def test_nearest_tie_goes_to_the_first_segment(both, ms, value, other):
 def test_words_under_unnamed_segments(both):
     got, want = both("assign_overlap", "events", events((9, 1, 0, None, 40.0), (18, 1, 10**7, "b", 40.0), (9, 2, 0, "a", 40.0), (8, 3, 0, None, 40.0)))
     assert got == want and (1, 9, None, None) in got
+
+
+def levels(*calls):
+    """calls: decibels of each frame; a level is made of a vector's first number a as -90 + 300 |a|."""
+    rows = ", ".join(f"({100 * c + k}, {(90 + db) / 300})" for c, frames in enumerate(calls) for k, db in enumerate(frames))
+    return f"SELECT vec_id::BIGINT AS vec_id, [a, 0, 0]::FLOAT[] AS embedding FROM (VALUES {rows}) v(vec_id, a)"
+
+
+def test_gate_on_its_edge(both):
+    # As doubles, -69.51 + 6 is less than -63.51, and -72.54 + 6 is not less than -66.54.
+    calls = [[floor] * 5 + [floor + d for d in (5.97, 6, 6.03)] for floor in (-69.51, -72.54, -71.28)]
+    got, want = both("energy_gate", "embeddings", levels(*calls, [-90, -80, -90], [-90] + [-60] * 5 + [-53.97]))
+    assert got == want and [r[1] for r in got if r[2]] == [7, 7, 7, 6]
